@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import capping, cutoffs, splits, topn
+from pairloom.llm import capping, cutoffs, leakage, mojibake, packing, splits, topn
 from pairloom.operators.keys import clean_key
 from pairloom.session import table
 
@@ -60,10 +60,32 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("item_id").alias("ood_row_id"))
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
+    return leakage.leaks(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), F.col("source"))
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), F.col("source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_top_rows, p2_found, p2_splits, p3_found, p3_capped, p4_found, p4_cutoffs)
+        for f in (p1_found, p1_top_rows, p2_found, p2_splits, p3_found, p3_capped, p4_found, p4_cutoffs,
+                  p6_packed, p7_found, p8_found, p8_restored)
     }
 
 
