@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import written
+from pairloom.session import shuffle_partitions, written
 
 # fixed values: code pages that texts are commonly read with by mistake
 SINGLE = ["latin_1", "cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "koi8_r", "cp866", "iso8859_2", "iso8859_5", "cp1254", "cp1253"]
@@ -330,7 +330,7 @@ def damage(df: DataFrame, doc_id: Column, text: Column, source: Column) -> tuple
         yield pd.DataFrame(rows, columns=["source", "b", "run", "a", "reading", "gain"])
 
     swaps = (
-        contexts.repartition("source", "run")
+        contexts.repartition(shuffle_partitions(spark), "source", "run")
         .sortWithinPartitions("source", "run")
         .mapInPandas(decide, "source string, b string, run string, a string, reading string, gain double")
     )
