@@ -188,7 +188,8 @@ def leaks(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_
     tests = items.select(item_id.alias("item_id"), item_text.alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id"])
     spelled = written(tests.mapInPandas(spell, f"item_id {ikind}, ipos int, term string"), "items")
     terms = spelled.select("term").distinct()
-    if terms.count() <= VOCABULARY:
+    n_terms = terms.count()
+    if n_terms <= VOCABULARY:
         index = postings(docs, doc_id, text, frozenset(r["term"] for r in terms.collect()))
     else:
         index = postings(docs, doc_id, text).join(terms, "term", "left_semi")
@@ -215,20 +216,31 @@ def leaks(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_
         .filter("n >= 2")
     )
     pairs = written(near.groupBy("doc_id", "item_id").agg(F.max("n").alias("n")), "candidates")
-    tested = known.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("ipos", "term", "common"))).alias("w"))
-    searched = (
-        pairs.join(tested, "item_id")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("item_id", F.col("w.term").alias("words"), F.col("w.common").alias("common"))).alias("items"))
+    tested = known.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("ipos", "term", "common"))).alias("w")).select(
+        "item_id", F.col("w.term").alias("words"), F.col("w.common").alias("common")
     )
+    small = n_terms <= VOCABULARY
+    item = F.struct("item_id") if small else F.struct("item_id", "words", "common")
+    if not small:
+        pairs = pairs.join(tested.hint("shuffle_hash"), "item_id")
+    # written, so that the size of this side is known when Spark chooses the join with the texts
+    searched = written(pairs.groupBy("doc_id").agg(F.collect_list(item).alias("items")), "searched")
+    words_of = {r["item_id"]: (list(r["words"]), {w for w, c in zip(r["words"], r["common"]) if c}) for r in tested.collect()} if small else {}
+    shared_items = spark.sparkContext.broadcast(words_of)
     bodies = docs.select(doc_id.alias("doc_id"), text.alias("text")).filter("text IS NOT NULL")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared_items.value
         for b in batches:
             rows = []
             for d, t, items in zip(b["doc_id"], b["text"], b["items"]):
-                common = {w for x in items for w, c in zip(x["words"], x["common"]) if c}
-                rows += [(d, *x) for x in found_in(words(t), [(x["item_id"], list(x["words"])) for x in items], common)]
+                common: set[str] = set()
+                tests = []
+                for x in items:
+                    w, c = own[x["item_id"]] if small else (list(x["words"]), {w for w, c in zip(x["words"], x["common"]) if c})
+                    common |= c
+                    tests.append((x["item_id"], w))
+                rows += [(d, *x) for x in found_in(words(t), tests, common)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "matched"])
 
     return (
