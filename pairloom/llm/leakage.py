@@ -80,8 +80,8 @@ def _anchors(df: pd.DataFrame) -> pd.DataFrame:
             picked.add(min(own, key=lambda k: (freq[k], k)))
     if not picked:
         picked = set(sorted((k for k in range(len(terms)) if freq[k] > 0), key=lambda k: (freq[k], k))[:WINDOW])
-    keep = sorted(picked)
-    return pd.DataFrame({"item_id": df["item_id"].iloc[0], "term": [terms[k] for k in keep], "ipos": [pos[k] for k in keep]})
+    item = df["item_id"].iloc[0]
+    return pd.DataFrame([(item, terms[k], pos[k]) for k in sorted(picked)], columns=["item_id", "term", "ipos"])
 
 
 def stretches(doc: list[str], item: list[str], common: set[str]) -> tuple[float, int, set[int]]:

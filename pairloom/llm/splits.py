@@ -44,15 +44,27 @@ def difference_merge(tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[last], label.reshape(n, k)
 
 
-def balanced_bins(weights: np.ndarray, k: int) -> np.ndarray:
-    """Bin 0..k-1 of every weight, the bins as equal as largest differencing makes them."""
+def balanced_bins(weights: np.ndarray, k: int, fine: int = 25) -> np.ndarray:
+    """Bin 0..k-1 of every weight, the bins as equal as largest differencing makes them.
+
+    Weights below 1 / (k x fine) of the total are first bundled to about that size, which bounds the
+    number of tuples; larger ones stay alone, and each starts as a tuple with one entry.
+    """
     order = np.argsort(-weights, kind="stable")
-    rows = -(-len(weights) // k)
-    padded = np.zeros(rows * k)
-    padded[: len(weights)] = weights[order]
-    _, label = difference_merge(padded.reshape(rows, k))
+    w = weights[order]
+    least = w.sum() / (k * fine)
+    # a bundle closes when the running sum of small weights passes a multiple of the least size
+    small = np.where(w < least, w, 0.0)
+    n_large = int((w >= least).sum())
+    run = np.cumsum(small) - small
+    bundle = np.where(w >= least, np.arange(len(w)), n_large + (run // max(least, 1e-300)).astype(np.int64))
+    _, bundle = np.unique(bundle, return_inverse=True)
+    sums = np.bincount(bundle, w)
+    tuples = np.zeros((len(sums), k))
+    tuples[:, 0] = sums
+    _, label = difference_merge(tuples)
     out = np.empty(len(weights), dtype=np.int64)
-    out[order] = label.ravel()[: len(weights)]
+    out[order] = label[:, 0][bundle]
     return out
 
 
