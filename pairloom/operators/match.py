@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.positions import grouped_positions
-from pairloom.session import written
+from pairloom.session import shuffle_partitions, written
 
 WINDOWS = {"mw": 0.25, "logp": 1.5, "tpsa": 40.0}  # relative, absolute, absolute
 
@@ -59,7 +59,8 @@ def matched_selection(df: DataFrame, prepared: DataFrame, count: int, per_protei
     d = d.withColumn("ok", F.coalesce((F.col("status") == "complete") & (F.col("computed") == F.col("ck")) & F.col("q1").isNotNull() & F.col("q2").isNotNull(), F.lit(False)))
     cols = d.select("u", "ck", "id", "s", "mw", "logp", "tpsa", "pct", "ok", F.coalesce("q1", F.lit(0)).alias("q1"), F.coalesce("q2", F.lit(0)).alias("q2"))
     tried = written(
-        written(cols, "deciles").groupBy("u").applyInPandas(_greedy, "u string, round int, candidate string, comparison string, distance double, reason string"),
+        # a fixed number of partitions, else the few bytes are put into one task
+        written(cols, "deciles").repartition(shuffle_partitions(df.sparkSession), "u").groupBy("u").applyInPandas(_greedy, "u string, round int, candidate string, comparison string, distance double, reason string"),
         "matches",
     )
     good = tried.filter("comparison IS NOT NULL")
