@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,15 @@ VOCABULARY = 2_000_000  # test terms that may be sent to all tasks; beyond, the
 
 def words(text: str) -> list[str]:
     """Words as the index knows them: no case, accents, invisible signs or look-alike letters."""
-    t = unicodedata.normalize("NFKD", text.translate(LOOKALIKE)).casefold()
-    return WORD.findall(UNSEEN.sub("", t))
+    if UNSEEN.search(text):
+        text = UNSEEN.sub("", text)
+    return [w if w.isascii() else _folded(w) for w in WORD.findall(text.casefold())]
+
+
+@lru_cache(maxsize=200_000)
+def _folded(word: str) -> str:
+    plain = unicodedata.normalize("NFKD", word.translate(LOOKALIKE))
+    return "".join(WORD.findall(UNSEEN.sub("", plain))) or word
 
 
 def postings(docs: DataFrame, doc_id: Column, text: Column, vocabulary: frozenset[str] | None = None) -> DataFrame:
@@ -159,6 +167,7 @@ def found_in(doc: list[str], items: list[tuple[object, list[str]]], common: set[
     return out
 
 
+@lru_cache(maxsize=200_000)
 def _alike(a: str, b: str) -> bool:
     if a == b:
         return True
