@@ -6,7 +6,8 @@ after it. The language model holds bigram counts of all documents; most text is
 sound bigrams outweigh damaged ones. For each source, expectation-maximization learns which
 letters each run stands for, the choices being the run itself and what the swaps of known
 code pages can make of it. Runs that stand for something else are damage, and their
-letters go back by a translation table.
+letters go back by a translation table. Runs that read as UTF-8 in characters the texts hold
+do not count for the bigrams, so that a source that is damaged throughout does not vouch for itself.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.session import shuffle_partitions, written
@@ -30,7 +31,7 @@ SINGLE = ["latin_1", "cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251"
 MULTI = ["gb18030", "big5", "cp932"]
 
 RUN = re.compile(r"(?:[^\x00-\x7f]|&#?[A-Za-z0-9]{2,8};)+")
-LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]")  # a lost character, or a control code that no text holds
+LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]|ï¿½")  # a lost character, also one read wrongly again, or a control code that no text holds
 UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3}")
 CURRENT = 0.5  # chance of a run being sound, before anything is known
 MIN_GAIN = 3.0  # log ratio by which damage has to be likelier than the run as it stands
@@ -99,8 +100,8 @@ def _utf8_read_as(s: str, codec: str) -> str | None:
 
 
 @lru_cache(maxsize=200_000)
-def readings(run: str) -> tuple[str, ...]:
-    """What ``run`` may have been before one or more swaps of code pages."""
+def utf8_readings(run: str) -> tuple[str, ...]:
+    """What ``run`` may have been if it is UTF-8 that was read as known code pages, once or more often."""
     plain = html.unescape(run)
     found: dict[str, None] = {}
     level = [plain]
@@ -113,7 +114,14 @@ def readings(run: str) -> tuple[str, ...]:
                     found[t] = None
                     new.append(t)
         level = new[:12]
-    if plain == run:
+    return tuple(found)
+
+
+@lru_cache(maxsize=200_000)
+def readings(run: str) -> tuple[str, ...]:
+    """What ``run`` may have been before one or more swaps of code pages."""
+    found: dict[str, None] = dict.fromkeys(utf8_readings(run))
+    if html.unescape(run) == run:
         for wrong in SINGLE:
             pieces = _encode(run, wrong)
             if len(pieces) == 1 and pieces[0][0]:
@@ -128,7 +136,7 @@ def readings(run: str) -> tuple[str, ...]:
                         pass
         for codec in ("latin_1", "cp1252"):
             t = _back(run.encode("utf-8"), codec)
-            if "\u0080" > t or not any("\x80" <= c <= "\x9f" for c in t):
+            if "�" not in run and ("\u0080" > t or not any("\x80" <= c <= "\x9f" for c in t)):
                 found.setdefault(t)
     return tuple(found)
 
@@ -180,15 +188,23 @@ def runs_of(text: str) -> Iterator[tuple[str, str, str]]:
             yield _shape(run[a - 1] if a else before), piece, _shape(run[a + LONG_RUN] if a + LONG_RUN < len(run) else after)
 
 
-def _bigrams(text: str) -> set[tuple[str, str]]:
-    """Bigrams with a non-ASCII character; pairs of ASCII stay as they are under every swap."""
-    out = set()
+def _bigrams(text: str) -> tuple[set[tuple[str, str]], dict[str, set[tuple[str, str]]]]:
+    """Bigrams with a non-ASCII character; pairs of ASCII stay as they are under every swap.
+
+    Those of runs that may be UTF-8 read wrongly come by run, as far as no other place holds them.
+    """
+    out: set[tuple[str, str]] = set()
+    suspect: dict[str, set[tuple[str, str]]] = {}
     for m in re.finditer(r"[^\x00-\x7f]+", text):
         s = [_shape(c) for c in text[max(0, m.start() - 1) : m.end() + 1]]
         s = s if m.start() else [" ", *s]
         s = s if m.end() < len(text) else [*s, " "]
-        out.update(zip(s, s[1:]))
-    return out
+        run = m.group()
+        for a in range(0, len(run), LONG_RUN):
+            piece = run[a : a + LONG_RUN]
+            part = s[a : a + len(piece) + 2]
+            (suspect.setdefault(piece, set()) if utf8_readings(piece) else out).update(zip(part, part[1:]))
+    return out, {r: x for r, b in suspect.items() if (x := b - out)}
 
 
 class Bigrams:
@@ -223,6 +239,19 @@ class Bigrams:
         return out
 
 
+def _model(counts: DataFrame, docs: int) -> Bigrams:
+    pairs = counts.groupBy("b", "a").agg(F.sum("n").alias("n")).filter("n > 1").collect()
+    return Bigrams({(r["b"], r["a"]): r["n"] for r in pairs}, docs)
+
+
+def suspicious(run: str, n: int, model: Bigrams) -> bool:
+    """Whether ``run``, in ``n`` places, has a reading as UTF-8 in characters that are not far rarer; it does not count as sound text then."""
+    least = n * math.exp(-MIN_GAIN)
+    return any(
+        model.known(o) and all(c < "\x80" or _shape(c) == " " or model.left[_shape(c)] >= least for c in o) for o in utf8_readings(run)
+    )
+
+
 def learn(contexts: list[tuple[str, str, str, int]], model: Bigrams, rounds: int = 6) -> list[tuple[str, str, str, str, float]]:
     """EM of one source: (before, run, after, reading, gain) of the runs that stand for something else.
 
@@ -240,6 +269,7 @@ def learn(contexts: list[tuple[str, str, str, int]], model: Bigrams, rounds: int
         if other := lookalike(run):
             options.append(other)
         swapped = [len(o) == len(run) for o in options]
+        decoded = set(utf8_readings(run))
         fit = np.array(
             [
                 [
@@ -266,7 +296,9 @@ def learn(contexts: list[tuple[str, str, str, int]], model: Bigrams, rounds: int
         best = post.argmax(axis=1)
         for (b, a, _), f, o in zip(ctx, fit, best):
             gain = float(f[o] - f[0])
-            if o and gain > MIN_GAIN and options[o] != other:
+            # the model has not seen a run that may be UTF-8, so the source's weight of the reading counts as well
+            odds = gain + math.log(weight[o] / weight[0]) if options[o] in decoded else gain
+            if o and odds > MIN_GAIN and options[o] != other:
                 out.append((b, run, a, options[o], gain))
     return out
 
@@ -296,17 +328,26 @@ def damage(df: DataFrame, doc_id: Column, text: Column, source: Column) -> tuple
                 rows += [(i, s, x, r, y, False, 1) for x, r, y in set(runs_of(t))]
                 if LOST.search(t):
                     rows.append((i, s, None, None, None, True, 1))
-                pairs.update(_bigrams(t))
+                sure, suspect = _bigrams(t)
+                pairs.update((None, *p) for p in sure)
+                pairs.update((r, *p) for r, own in suspect.items() for p in own)
             # bigrams are counted per batch; their rows carry no document
-            rows += [(None, None, x, None, y, False, n) for (x, y), n in pairs.items()]
+            rows += [(None, None, x, r, y, False, n) for (r, x, y), n in pairs.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "source", "b", "run", "a", "lost", "n"])
 
     kind = df.select(doc_id.alias("x")).schema["x"].dataType.simpleString()
     found = written(docs.mapInPandas(scan, f"doc_id {kind}, source string, b string, run string, a string, lost boolean, n long"), "runs")
-    counts = found.filter("source IS NULL").groupBy("b", "a").agg(F.sum("n").alias("n")).filter("n > 1").collect()
     total = docs.count()
-    model = Bigrams({(r["b"], r["a"]): r["n"] for r in counts}, total)
-    shared = spark.sparkContext.broadcast(model)
+    counted = found.filter("source IS NULL").groupBy("b", "run", "a").agg(F.sum("n").alias("n"))
+    alphabet = spark.sparkContext.broadcast(_model(counted, total))
+
+    def sound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.loc[[not suspicious(r, n, alphabet.value) for r, n in zip(b["run"], b["most"])], ["b", "a", "n"]]
+
+    suspects = counted.filter("run IS NOT NULL").withColumn("most", F.max("n").over(Window.partitionBy("run")))
+    counts = counted.filter("run IS NULL").select("b", "a", "n").unionByName(suspects.mapInPandas(sound, "b string, a string, n long"))
+    shared = spark.sparkContext.broadcast(_model(counts, total))
     runs = found.filter("source IS NOT NULL").drop("n")
     contexts = runs.filter("run IS NOT NULL").groupBy("source", "run", "b", "a").agg(F.count("*").alias("n"))
 

@@ -44,6 +44,17 @@ def test_damage_is_found_and_mended(spark):
     assert mojibake.garbled(df.limit(0), *cols).count() == 0
 
 
+@pytest.mark.parametrize("codec", ["latin_1", "cp437"])
+def test_a_source_damaged_throughout_is_found(spark, codec):
+    plain = [(k, f"Probe {k} bei {k % 90} °C gelagert." if k % 2 else f"Spacing {k} Å—7.5 Å, in Å² 4.70.", f"s{k % 3}") for k in range(600)]
+    bad = {i for i, _, s in plain if s == "s1"}
+    df = spark.createDataFrame([(i, t.encode("utf-8").decode(codec) if i in bad else t, s) for i, t, s in plain], "doc_id long, text string, source string")
+    cols = (F.col("doc_id"), F.col("text"), F.col("source"))
+    assert {r[0] for r in mojibake.garbled(df, *cols).collect()} == bad
+    fixed = {r["doc_id"]: r["text"] for r in mojibake.restored(df, *cols).collect()}
+    assert all(fixed[i] == t for i, t, _ in plain if i in bad and i % 2)
+
+
 def test_unusual_but_sound_characters():
     assert mojibake.lookalike("ес") == "ec" and mojibake.lookalike("éс") is None
     assert list(mojibake.runs_of("a é b")) == [(" ", "é", " ")]
