@@ -3,8 +3,9 @@
 A positional inverted index of the training text is stored once: for each term and document
 the positions of the term. Each test item is searched from its rarest terms: their position
 lists, shifted by their places in the item, are intersected, which leaves the documents
-where several of them stand in the item's order and distance. Those are aligned word by
-word with the item.
+where several of them stand in the item's order and distance. Documents that hold so many
+words of an item in a row as no chance wording does are added, however common the words. All
+are aligned word by word with the item.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ COMMON = 0.3  # worth of a word that many items share; other words are worth 1
 STRETCH = 2.2  # least score of a stretch
 PASSAGE = 6.5  # least score of a document's stretches together
 MATCHED = 11  # least number of words they match
+ROW = 8  # words of the item in a row that are a passage whatever the words are worth,
+WHOLE = 14  # if the stretches together match so many
 OWN = 0.5  # part of an item's matched places that no better item has in the same document
 SHARED_ITEMS = 0.02  # a word in more than this part of the items, and in over 3, is common
 VOCABULARY = 2_000_000  # test terms that may be sent to all tasks; beyond, the index is joined with them
@@ -50,10 +53,20 @@ def _folded(word: str) -> str:
     return "".join(WORD.findall(UNSEEN.sub("", plain))) or word
 
 
-def postings(docs: DataFrame, doc_id: Column, text: Column, vocabulary: frozenset[str] | None = None) -> DataFrame:
+def rows_in(spelled: list[str], vocabulary: frozenset[str] | None = None) -> Iterator[tuple[int, str]]:
+    """(place, words) of every ROW successive words, as far as they are in the vocabulary."""
+    known = 0
+    for k, w in enumerate(spelled):
+        known = known + 1 if vocabulary is None or w in vocabulary else 0
+        if known >= ROW and ((row := " ".join(spelled[k - ROW + 1 : k + 1])) and (vocabulary is None or row in vocabulary)):
+            yield k - ROW + 1, row
+
+
+def postings(docs: DataFrame, doc_id: Column, text: Column, vocabulary: frozenset[str] | None = None, rows_too: bool = False) -> DataFrame:
     """The positional index: ``term``, ``doc_id``, ``positions`` (0-based, ascending).
 
-    With a vocabulary, only its terms are indexed. Null texts and ids are left out.
+    With a vocabulary, only its terms are indexed. With ``rows_too``, each ROW words in a row
+    are a term as well. Null texts and ids are left out.
     """
     kind = docs.select(doc_id.alias("x")).schema["x"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -64,9 +77,13 @@ def postings(docs: DataFrame, doc_id: Column, text: Column, vocabulary: frozense
             rows = []
             for i, t in zip(b["doc_id"], b["text"]):
                 at: dict[str, list[int]] = {}
-                for k, w in enumerate(words(t)):
+                spelled = words(t)
+                for k, w in enumerate(spelled):
                     if keep is None or w in keep:
                         at.setdefault(w, []).append(k)
+                if rows_too:
+                    for k, r in rows_in(spelled, keep):
+                        at.setdefault(r, []).append(k)
                 rows += [(w, i, p) for w, p in at.items()]
             yield pd.DataFrame(rows, columns=["term", "doc_id", "positions"])
 
@@ -92,8 +109,8 @@ def _anchors(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(item, terms[k], pos[k]) for k in sorted(picked)], columns=["item_id", "term", "ipos"])
 
 
-def stretches(doc: list[str], item: list[str], common: set[str]) -> tuple[float, int, set[int]]:
-    """(score, matched words, their places in ``doc``) of the passages of ``item`` in ``doc``.
+def stretches(doc: list[str], item: list[str], common: set[str]) -> tuple[float, int, int, set[int]]:
+    """(score, matched words, most of them in a row, their places in ``doc``) of the passages of ``item`` in ``doc``.
 
     Words match in the order of the item, with up to REACH words between. A match is worth 1, or COMMON
     for a word that many items have; a changed word that is still alike counts half; every word
@@ -103,7 +120,7 @@ def stretches(doc: list[str], item: list[str], common: set[str]) -> tuple[float,
     places: dict[str, list[int]] = {}
     for j, w in enumerate(item):
         places.setdefault(w, []).append(j)
-    best: list[tuple[float, int, int, int, int]] = []  # score, place in doc, in item, previous, words
+    best: list[tuple[float, int, int, int]] = []  # score, place in doc, in item, previous
     recent: list[int] = []
     for i, w in enumerate(doc):
         if w not in places:
@@ -111,21 +128,22 @@ def stretches(doc: list[str], item: list[str], common: set[str]) -> tuple[float,
         recent = [r for r in recent if i - best[r][1] <= REACH + 1]
         worth, new = COMMON if w in common else 1.0, []
         for j in places[w]:
-            score, back, matched = worth, -1, 1
+            score, back = worth, -1
             for r in recent:
-                s, pi, pj, _, n = best[r]
+                s, pi, pj, _ = best[r]
                 di, dj = i - pi, j - pj
                 if 0 < di and 0 < dj <= REACH + 1:
                     alike = sum(_alike(doc[pi + k], item[pj + k]) for k in range(1, di)) if di == dj else 0
                     gain = s + worth + 0.5 * alike - GAP_COST * (max(di, dj) - 1 - alike)
                     if gain > score:
-                        score, back, matched = gain, r, n + 1 + alike
-            best.append((score, i, j, back, matched))
+                        score, back = gain, r
+            best.append((score, i, j, back))
             new.append(len(best) - 1)
         recent += new
     used: set[int] = set()
     covered: set[int] = set()
-    total, count = 0.0, 0
+    total = 0.0
+    hits: set[tuple[int, int]] = set()
     for r in sorted(range(len(best)), key=lambda r: -best[r][0]):
         if best[r][0] < STRETCH:
             break
@@ -137,15 +155,27 @@ def stretches(doc: list[str], item: list[str], common: set[str]) -> tuple[float,
             continue
         # a chain whose beginning belongs to a better one counts without it
         score = best[r][0] - (best[k][0] if k >= 0 else 0.0)
-        matched = best[r][4] - (best[k][4] if k >= 0 else 0)
         own = {best[c][2] for c in chain} - covered
         part = score * len(own) / len(chain)
         if part >= STRETCH:
             used |= {best[c][1] for c in chain}
             covered |= own
             total += part
-            count += round(matched * len(own) / len(chain))
-    return total, count, used
+            for c in chain:
+                _, i, j, back = best[c]
+                hits.add((i, j))
+                if back in chain and i - best[back][1] == j - best[back][2]:
+                    hits |= {(i - k, j - k) for k in range(1, i - best[back][1]) if _alike(doc[i - k], item[j - k])}
+    # a word counts once, however many chains pass over it
+    count = min(len({i for i, _ in hits}), len({j for _, j in hits}))
+    longest = 0
+    for i, j in hits:
+        if (i - 1, j - 1) not in hits or doc[i - 1] != item[j - 1]:
+            k = 0
+            while (i + k, j + k) in hits and doc[i + k] == item[j + k]:
+                k += 1
+            longest = max(longest, k)
+    return total, count, longest, used
 
 
 def found_in(doc: list[str], items: list[tuple[object, list[str]]], common: set[str]) -> list[tuple[object, float, int]]:
@@ -155,10 +185,12 @@ def found_in(doc: list[str], items: list[tuple[object, list[str]]], common: set[
     only with places of its own, or if it fits as well.
     """
     scored = [(i, *stretches(doc, w, common)) for i, w in items]
-    scored = sorted((x for x in scored if x[1] >= PASSAGE and x[2] >= MATCHED), key=lambda x: (-x[1], x[0]))
+    scored = sorted(
+        (x for x in scored if (x[1] >= PASSAGE and x[2] >= MATCHED) or (x[2] >= WHOLE and x[3] >= ROW)), key=lambda x: (-x[1], x[0])
+    )
     taken: dict[int, float] = {}
     out = []
-    for i, score, matched, where in scored:
+    for i, score, matched, _, where in scored:
         own = [p for p in where if taken.get(p, 0.0) <= score]
         if len(own) >= OWN * len(where):
             out.append((i, score, matched))
@@ -196,12 +228,19 @@ def leaks(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_
 
     tests = items.select(item_id.alias("item_id"), item_text.alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id"])
     spelled = written(tests.mapInPandas(spell, f"item_id {ikind}, ipos int, term string"), "items")
-    terms = spelled.select("term").distinct()
+
+    def spell_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, r) for i, t in zip(b["item_id"], b["text"]) for r in {r for _, r in rows_in(words(t))}]
+            yield pd.DataFrame(rows, columns=["item_id", "term"])
+
+    in_row = written(tests.mapInPandas(spell_rows, f"item_id {ikind}, term string"), "rows")
+    terms = spelled.select("term").unionByName(in_row.select("term")).distinct()
     n_terms = terms.count()
     if n_terms <= VOCABULARY:
-        index = postings(docs, doc_id, text, frozenset(r["term"] for r in terms.collect()))
+        index = postings(docs, doc_id, text, frozenset(r["term"] for r in terms.collect()), rows_too=True)
     else:
-        index = postings(docs, doc_id, text).join(terms, "term", "left_semi")
+        index = postings(docs, doc_id, text, rows_too=True).join(terms, "term", "left_semi")
     index = written(index, "postings")
 
     freq = index.groupBy("term").agg(F.count("*").alias("df"))
@@ -224,7 +263,8 @@ def leaks(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_
         .agg(F.count_distinct("ipos").alias("n"))
         .filter("n >= 2")
     )
-    pairs = written(near.groupBy("doc_id", "item_id").agg(F.max("n").alias("n")), "candidates")
+    verbatim = index.join(in_row, "term").select("doc_id", "item_id")
+    pairs = written(near.select("doc_id", "item_id").unionByName(verbatim).distinct(), "candidates")
     tested = known.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("ipos", "term", "common"))).alias("w")).select(
         "item_id", F.col("w.term").alias("words"), F.col("w.common").alias("common")
     )

@@ -82,6 +82,18 @@ def test_leaks(spark):
         assert leakage.leaks(a, F.col("doc_id"), F.col("text"), b, F.col("item_id"), F.col("text")).count() == 0
 
 
+def test_leaks_of_common_words(spark):
+    words = "which of the following sites binds the given ligand most tightly when both chains of this protein are open and".split()
+    orders = [random.Random(k).sample(words, len(words)) for k in range(8)]
+    items = spark.createDataFrame([(k, " ".join([*o, f"own{k}a", f"own{k}b"])) for k, o in enumerate(orders)], "item_id long, text string")
+    one = orders[0]
+    docs = [(1, FILL + " ".join(one[2:16]) + " " + FILL), (2, FILL + " ".join(one[2:9]) + " " + FILL), (3, " ".join(one[2:10]) + " " + FILL + " ".join(one[10:13])), (4, FILL * 2 + " ".join(one[:14]).upper()), (5, FILL + " ".join(f"own{k}a own{k}b" for k in range(8)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(df, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text")).collect()}
+    assert got == {(1, 0), (4, 0)}
+    assert leakage.stretches(one[2:16], one, set(words))[1:3] == (14, 14)
+
+
 def test_postings_are_complete(spark):
     df = spark.createDataFrame([(1, "A b a"), (2, None)], "doc_id long, text string")
     assert {r["term"]: list(r["positions"]) for r in leakage.postings(df, F.col("doc_id"), F.col("text")).collect()} == {"a": [0, 2], "b": [1]}
