@@ -109,9 +109,11 @@ def map_similarity(spark, d):
 
 def network_scores(spark, d):
     rng = np.random.default_rng(7)
-    w = {"w1": rng.normal(size=(64, 8)) / 8, "b1": np.zeros(8), "w2": rng.normal(size=8), "b2": 0.0}
-    e = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
-    x = e.select("label", F.transform(F.slice("v", 1, 20), lambda r: F.slice(r["embedding"], 1, 16)).alias("l"), F.transform(F.slice("v", 21, 20), lambda r: F.slice(r["embedding"], 1, 16)).alias("r"))
+    w = {"w1": rng.normal(size=(256, 8)) / 16, "b1": np.zeros(8), "w2": rng.normal(size=8), "b2": 0.0}
+    # all vectors of a label: those with an even id on the left, the others on the right
+    side = lambda k: F.array_sort(F.collect_list(F.when(F.pmod("vec_id", F.lit(2)) == k, F.struct("vec_id", "embedding"))))
+    e = table(spark, d, "embeddings").groupBy("label").agg(side(0).alias("l"), side(1).alias("r"))
+    x = e.select("label", *(F.when(F.size(c) > 0, F.col(c)["embedding"]).alias(c) for c in ("l", "r")))
     return rounded(vectors.predict(x, "label", "l", "r", w, "both_ways"), "score", digits=6)
 
 
