@@ -177,6 +177,42 @@ def repeated_support(spark, d):
     return observations.repeated_support(x, ["label", "box"], "scoring", "a", G.XYZ, 3, 5.0)
 
 
+# the same over all points of the table; the queries above keep the rows that their SQL names
+
+
+def _all_points(spark, d):
+    return _points(spark, d, "true").withColumnRenamed("vec_id", "a")
+
+
+def box_coverage_all(spark, d):
+    """Boxes for every label that is present."""
+    s = _all_points(spark, d).withColumn("site", F.col("a") % 5).drop("a")
+    boxes = spark.createDataFrame([(b, *[float(b - 1)] * 3, *[20.0 + 4 * b] * 3) for b in range(3)], "box int, cx double, cy double, cz double, sx double, sy double, sz double")
+    return rounded(G.box_coverage(s, s.select("label").distinct().crossJoin(F.broadcast(boxes)), ["label"], "site", "box"), "inside")
+
+
+def pose_classification_all(spark, d):
+    """Three roles that together cover all points: poses, receptor and primary reference."""
+    a, b = _sides(spark, d)
+    poses = a.withColumn("pose", F.col("a") % 7).drop("a")
+    rec = b.filter("b % 3 = 1").withColumn("res", F.col("b") % 20).drop("b")
+    prim = b.filter("b % 3 = 2").drop("b")
+    return rounded(G.classify_poses(poses, rec, prim, ["label"], "pose", "res", 4.0, 0.5, 1.0), "min_receptor", "min_primary")
+
+
+def clash_counts_all(spark, d):
+    return G.clashes(_all_points(spark, d).withColumn("res", F.col("a") % 20), ["label"], "res", "a", 5.0)
+
+
+def medoid_all(spark, d):
+    return observations.medoid(_all_points(spark, d), ["label"], "a", G.XYZ, 6.0)
+
+
+def repeated_support_all(spark, d):
+    x = _all_points(spark, d).withColumn("box", F.col("a") % 2).withColumn("scoring", F.when(F.col("a") % 4 < 2, "one").otherwise("two"))
+    return observations.repeated_support(x, ["label", "box"], "scoring", "a", G.XYZ, 3, 5.0)
+
+
 def kabsch_rmsd(spark, d):
     e = table(spark, d, "embeddings")
     cut = lambda a: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.slice("embedding", i * 3 + a, F.lit(3)))
@@ -250,7 +286,7 @@ QUERIES = {
     for f in (
         paired_units, discordance_counts, sign_flip_exact, sign_flip_drawn, holm_adjust, wilcoxon_signed_rank, bootstrap_ratio, cluster_pair_matrix, paired_bootstrap,
         attention_metrics, masked_means, masked_maxima, ligand_specificity, map_similarity, network_scores, radius_contacts, nearest_distance, min_image_distance, box_coverage,
-        pose_classification, clash_counts, medoid, repeated_support, kabsch_rmsd, time_gaps, span_gap, histogram12, zero_runs, stitch_segments, schedule_interpolation,
+        pose_classification, clash_counts, medoid, repeated_support, box_coverage_all, pose_classification_all, clash_counts_all, medoid_all, repeated_support_all, kabsch_rmsd, time_gaps, span_gap, histogram12, zero_runs, stitch_segments, schedule_interpolation,
         evenly_spaced, contact_strata, matched_selection, match_population,
     )
 }
@@ -337,3 +373,6 @@ SELECT t, seg, v FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY seg)
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u, ck ORDER BY s DESC, id) AS q FROM e) WHERE q = 1)
 SELECT u, ck, id, round((rank() OVER (PARTITION BY u ORDER BY s) + (count(*) OVER (PARTITION BY u, s) - 1) / 2.0) / count(*) OVER (PARTITION BY u), 9) AS pct FROM b""",
 }
+ALL = PTS.replace(" FROM pt WHERE vec_id % 3 = 0)", " FROM pt)")
+SQL |= {f"{q}_all": SQL[q].replace(PTS, ALL).replace(" WHERE label < 8", "") for q in ("box_coverage", "clash_counts", "medoid", "repeated_support")}
+SQL["pose_classification_all"] = SQL["pose_classification"].replace(" AND b % 4 = 0", "")
