@@ -113,7 +113,7 @@ def utf8_readings(run: str) -> tuple[str, ...]:
                 if t and t != s and t not in found and t != run:
                     found[t] = None
                     new.append(t)
-        level = new[:12]
+        level = new
     return tuple(found)
 
 

@@ -55,6 +55,14 @@ def test_a_source_damaged_throughout_is_found(spark, codec):
     assert all(fixed[i] == t for i, t, _ in plain if i in bad and i % 2)
 
 
+def test_no_reading_is_cut_off():
+    for text, codecs in (("β", ("koi8_r", "mac_roman", "cp1250")), ("–", ("cp1253", "mac_roman", "cp1250")), ("äö", ("cp1251", "cp1254", "iso8859_2"))):
+        run = text
+        for c in codecs:
+            run = run.encode("utf-8").decode(c)
+        assert text in mojibake.readings(run)
+
+
 def test_unusual_but_sound_characters():
     assert mojibake.lookalike("ес") == "ec" and mojibake.lookalike("éс") is None
     assert list(mojibake.runs_of("a é b")) == [(" ", "é", " ")]
