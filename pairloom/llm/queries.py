@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import capping, cutoffs, leakage, mojibake, packing, splits, topn
 from pairloom.operators.keys import clean_key
-from pairloom.session import table
+from pairloom.session import table, written
 
 TOP = 10
 CAP = 150
@@ -64,6 +64,11 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), F.col("doc_id"), F.col("text"))
 
 
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return packing.report(docs, F.col("doc_id"), F.col("text"), written(p6_packed(spark, d), "packed"))
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "eval_items")
     return leakage.leaks(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
@@ -85,7 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (p1_found, p1_top_rows, p2_found, p2_splits, p3_found, p3_capped, p4_found, p4_cutoffs,
-                  p6_packed, p7_found, p8_found, p8_restored)
+                  p6_packed, p6_report, p7_found, p8_found, p8_restored)
     }
 
 
@@ -116,5 +121,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_capped": SCORED + f"SELECT ood_row_id AS item_id, place <= {CAP} AS kept FROM ranked",
         "p4_cutoffs": CUTOFFS
         + "SELECT p AS protein, cut.n, cut.k, cutoff, count(*) AS kept FROM ranked JOIN cut USING (p) WHERE s >= cutoff GROUP BY p, cut.n, cut.k, cutoff",
+        "p6_report": """SELECT 'texts' AS measure, count(DISTINCT doc_id) AS value FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\x0b\\f\\r]')
+UNION ALL SELECT m, CAST(0 AS BIGINT) FROM (VALUES ('missing'), ('cut'), ('overfull'), ('wrong'), ('loose'), ('uneven')) v(m)""",
         "p4_found": CUTOFFS + "SELECT ood_row_id FROM ranked JOIN cut USING (p) WHERE s >= cutoff",
     }

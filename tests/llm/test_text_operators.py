@@ -2,7 +2,9 @@
 
 import os
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,25 @@ def test_packing_is_whole_and_tight(spark, capacity):
         groups[r["step_group"]] = groups.get(r["step_group"], 0) + r["n_tokens"]
     full = sorted(groups.values())
     assert full[-1] - full[0] <= 2 * capacity
+    windows = {}
+    for r in got:
+        windows.setdefault((r["tier"], r["window"]), []).append(r["n_tokens"])
+    assert all(sum(v) <= capacity >> t for (t, _), v in windows.items())
+
+
+def test_tiers_change_the_plan():
+    r = random.Random(3)
+    lengths = Counter(min(2048, int(r.paretovariate(0.9) * 20)) for _ in range(30_000))
+    total = sum(n * c for n, c in lengths.items())
+    for tiers in (1, 2, 4, 8):
+        p = packing.plan(lengths, 2048, tiers)
+        assert p.containers <= total / 2048 * 1.005 + 1 and sum(f > 0 for f in p.full) >= min(tiers, 5)
+        length = np.concatenate([np.full(c, n) for n, c in lengths.items()])
+        at = p.place(length, np.concatenate([np.arange(c) for c in lengths.values()]))
+        used = np.bincount(at[:, 0], length, p.containers)
+        assert used.max() <= 2048 and (2048 - used[at[:, 0]] == at[:, 1]).all()
+        sums = np.bincount(p.group(np.arange(p.containers), 10), used, 10)
+        assert sums.max() - sums.min() <= 2 * 2048
 
 
 def test_packing_edges(spark):
