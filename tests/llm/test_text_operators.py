@@ -57,6 +57,45 @@ def test_a_source_damaged_throughout_is_found(spark, codec):
     assert all(fixed[i] == t for i, t, _ in plain if i in bad and i % 2)
 
 
+UNCOMMON = ["cp852", "cp1256", "koi8_u", "mac_cyrillic", "iso8859_7", "cp1258", "cp855", "cp857", "cp775", "iso8859_13", "iso8859_15", "iso8859_16", "mac_greek", "cp1257"]
+
+
+def test_any_code_page_is_mended(spark):
+    r = random.Random(4)
+    docs = corpus(900, 3)
+    bad = {}
+    for k, page in enumerate(UNCOMMON):
+        for n in range(12):
+            plain = " ".join(r.choice(CLEAN[:4] + CLEAN[7:]).format(n=r.randint(1, 99)) for _ in range(3))
+            wrong = "".join(mojibake._letters(page)[b] if b > 127 else chr(b) for b in plain.encode("utf-8"))
+            bad[10_000 + 20 * k + n] = (wrong, plain, f"s{k % 3}")
+    df = spark.createDataFrame(docs + [(i, w, s) for i, (w, _, s) in bad.items()], "doc_id long, text string, source string")
+    cols = (F.col("doc_id"), F.col("text"), F.col("source"))
+    fixed = {x["doc_id"]: x["text"] for x in mojibake.restored(df, *cols).collect()}
+    assert set(fixed) == set(bad)
+    good = sum(fixed[i] == p for i, (_, p, _) in bad.items())
+    assert good >= 0.9 * len(bad), good / len(bad)
+
+
+def test_words_of_an_uncommon_one_byte_page(spark):
+    words = "Участок рядом открывается медленно и теряет часть активности после разбавления раствора".split()
+    r = random.Random(6)
+    docs = [(k, " ".join(r.sample(words, 6)), f"s{k % 3}") for k in range(300)]
+    bad = {1000 + k: " ".join(r.sample(words, 6)) for k in range(6)}
+    rows = docs + [(i, t.encode("cp1251").decode("cp775"), "s1") for i, t in bad.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {x[0] for x in mojibake.garbled(df, F.col("doc_id"), F.col("text"), F.col("source")).collect()} == set(bad)
+
+
+def test_long_runs_are_cut_between_sequences():
+    for page in ("cp1252", "latin_1", "cp437"):
+        text = "уважаемыйчитательэтогодлинногослова" * 3
+        run = "".join(mojibake._letters(page)[b] for b in text.encode("utf-8"))
+        at = mojibake.cuts(run)
+        assert all(b - a <= mojibake.LONG_RUN and a % 2 == 0 for a, b in zip(at, at[1:]))
+    assert mojibake.cuts("я" * 60) == (0, 24, 48, 60)
+
+
 def test_no_reading_is_cut_off():
     for text, codecs in (("β", ("koi8_r", "mac_roman", "cp1250")), ("–", ("cp1253", "mac_roman", "cp1250")), ("äö", ("cp1251", "cp1254", "iso8859_2"))):
         run = text
