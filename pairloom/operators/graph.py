@@ -68,8 +68,12 @@ def related_groups(df: DataFrame, row_id: Column, links: Sequence[Column]) -> Da
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("n")))).alias("n")),
         "records",
     )
-    edges = records.filter("size(n) > 0").select(F.col("n")[0].alias("a"), F.explode("n").alias("b")).distinct()
-    labels = components(edges)
+    edges, path = stored(records.filter("size(n) > 0").select(F.col("n")[0].alias("a"), F.explode("n").alias("b")).distinct(), "edges")
+    # the first nodes that share a value are all linked to the smallest of them: values that only one first node has,
+    # most as a rule, drop out before the rounds, and a value that many have is one star
+    low = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("c")).filter("c > 1").select("b", "m")
+    linked = edges.join(low, "b").filter("a <> m").select("a", F.col("m").alias("b")).distinct()
+    labels = components(linked)
     return records.select("row_id", F.expr("get(n, 0)").alias("node")).join(labels, "node", "left").select(
         "row_id", F.coalesce("label", F.concat(F.lit("~:"), F.col("row_id").cast("string"))).alias("group_label")
     )

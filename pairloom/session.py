@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    A folder of our own is set only where the session names none, which is the case in
-    tests in local mode.
+    A folder of our own is set only where the session names none and all tasks run in this
+    process. On a cluster each executor would write to its own disk, so a missing setting raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pairloom_")
         spark.sparkContext.setCheckpointDir(root)
     return root
