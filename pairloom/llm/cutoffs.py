@@ -10,29 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.keys import finite
-from pairloom.session import drop_stored, shuffle_partitions, stored, written
+from pairloom.session import drop_stored, stored, written
 
-PIVOTS = 63
-SAMPLES = 128
+PIVOTS = 63  # a round
+SAMPLES = 128  # scores that a run offers as pivots
 
 
 def sorted_runs(df: DataFrame, source: Column, score: Column, item: Column, run_rows: int = 65536) -> DataFrame:
     """Locally sorted score arrays: ``g``, ``run``, ``n``, ``scores``, ``items``, ascending by score.
 
-    Items of a source with more than ``run_rows`` rows are spread by hash over as many runs as it
-    takes; smaller sources are one run. Written to the shared folder.
+    The items of a source are spread by hash over as many runs as it takes for about ``run_rows`` rows
+    each, so that no array grows with the table. Written to the shared folder.
     """
     spark = df.sparkSession
     s = finite(score)
     rows = df.select(source.alias("g"), s.alias("s"), item.alias("i")).filter("g IS NOT NULL AND s IS NOT NULL AND i IS NOT NULL")
-    sizes, sizes_path = stored(rows.groupBy("g").agg(F.count("*").alias("c")), "sizes")
-    total = sizes.agg(F.sum("c")).first()[0] or 0
-    # no more than 8 large sources per shuffle partition can exist, which bounds the broadcast
-    run_rows = max(run_rows, total // (8 * shuffle_partitions(spark)) + 1 if total > 8 * run_rows * shuffle_partitions(spark) else run_rows)
-    large = sizes.filter(F.col("c") > run_rows).select("g", F.ceil(F.col("c") / run_rows).cast("int").alias("k"))
-    spread = rows.join(F.broadcast(large), "g", "left").select(
-        "g", "s", "i", F.when(F.col("k").isNotNull(), F.pmod(F.xxhash64("i"), F.col("k"))).otherwise(0).cast("int").alias("run")
+    # written, so that Spark knows the size of this side: few sources are broadcast, many are joined with splitting of hot ones
+    large, sizes_path = stored(
+        rows.groupBy("g").agg(F.count("*").alias("c")).filter(F.col("c") > run_rows).select("g", F.ceil(F.col("c") / run_rows).cast("int").alias("k")), "sizes"
     )
+    spread = rows.join(large, "g", "left").select("g", "s", "i", F.pmod(F.xxhash64("i"), F.coalesce("k", F.lit(1))).cast("int").alias("run"))
     runs = (
         spread.repartition("g", "run")
         .dropDuplicates(["g", "run", "s", "i"])
@@ -53,25 +50,18 @@ def fraction_cutoffs(runs: DataFrame, fraction: tuple[int, int] = (1, 5), min_it
     it, ties included. Multi-sequence selection: all runs of a source give evenly spaced
     scores of their open index range, some of these become pivots, each run answers with
     their ranks by ``searchsorted``, and the ranges shrink to the gap between the two pivots
-    that enclose rank k, until the k-th score is itself a pivot. A source of one run reads its
-    cutoff from the array. Only scores are read, and only pivots and ranks are exchanged.
+    that enclose rank k, until the k-th score is itself a pivot. Sources of any size take this
+    way. Only scores are read, and only pivots and ranks are exchanged.
     """
     num, den = fraction
     totals = runs.groupBy("g").agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("runs")).filter(F.col("n") >= min_items)
     totals = totals.withColumn("k", F.greatest(F.lit(1), F.expr(f"(n * {num}L + {den - 1}L) div {den}L")))
-    single = (
-        runs.select("g", "n", "scores").join(totals.filter("runs = 1").select("g", "k"), "g")
-        .withColumn("cutoff", F.expr("element_at(scores, CAST(n - k + 1 AS INT))"))
-        .select("g", F.col("n").cast("long").alias("n"), "k", "cutoff", F.size(F.filter("scores", lambda x: x >= F.col("cutoff"))).cast("long").alias("kept"))
-    )
-    done = [written(single, "cutoffs")]
-    state = written(
-        totals.filter("runs > 1").select("g", "n", "k", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")), "ranges"
-    )
-    while state.limit(1).count():
+    state = written(totals.select("g", "runs", "n", "k", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high")), "ranges")
+    done = []
+    while not done or state.limit(1).count():
         narrowed = written(_narrow(runs, state), "ranges")
         done.append(narrowed.filter("found").select("g", "n", "k", F.col("low").alias("cutoff"), "kept"))
-        state = narrowed.filter("NOT found").select("g", "n", "k", "low", "high")
+        state = narrowed.filter("NOT found").select("g", "runs", "n", "k", "low", "high")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -89,13 +79,14 @@ def _narrow(runs: DataFrame, state: DataFrame) -> DataFrame:
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for g, scores, low, high in zip(b["g"], b["scores"], b["low"], b["high"]):
+            for g, scores, low, high, n_runs in zip(b["g"], b["scores"], b["low"], b["high"], b["runs"]):
                 a = np.asarray(scores)
                 lo, hi = np.searchsorted(a, low, "right"), np.searchsorted(a, high, "left")
                 if hi > lo:
                     at = np.unique(np.linspace(lo, hi - 1, min(SAMPLES, hi - lo)).astype(np.int64))
-                    rows.append((g, a[at], (hi - lo) / len(at)))
-            yield pd.DataFrame(rows, columns=["g", "v", "w"])
+                    # the only run of a source needs no other to choose the pivots
+                    rows.append((g, np.unique(a[at]) if n_runs == 1 else a[at], (hi - lo) / len(at), n_runs == 1))
+            yield pd.DataFrame(rows, columns=["g", "v", "w", "alone"])
 
     def choose(df: pd.DataFrame) -> pd.DataFrame:
         v = np.concatenate([np.asarray(x) for x in df["v"]])
@@ -106,12 +97,9 @@ def _narrow(runs: DataFrame, state: DataFrame) -> DataFrame:
         return pd.DataFrame({"g": [df["g"].iloc[0]], "pivots": [np.unique(v[o][np.minimum(at, len(v) - 1)])]})
 
     g_type = runs.schema["g"].dataType.simpleString()
-    pivots = (
-        open_runs.mapInPandas(sample, f"g {g_type}, v array<double>, w double")
-        .groupBy("g")
-        .applyInPandas(choose, f"g {g_type}, pivots array<double>")
-    )
-    pivots = written(pivots, "pivots")
+    offered = written(open_runs.mapInPandas(sample, f"g {g_type}, v array<double>, w double, alone boolean"), "offered")
+    merged = offered.filter("NOT alone").groupBy("g").applyInPandas(choose, f"g {g_type}, pivots array<double>")
+    pivots = written(offered.filter("alone").select("g", F.col("v").alias("pivots")).unionByName(merged), "pivots")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -131,7 +119,7 @@ def _narrow(runs: DataFrame, state: DataFrame) -> DataFrame:
     met = (F.col("above") < F.col("k")) & (F.col("k") <= F.col("reach"))
     return (
         ranks.join(state, "g")
-        .groupBy("g", "n", "k", "low", "high")
+        .groupBy("g", "runs", "n", "k", "low", "high")
         .agg(
             F.max(F.when(met, F.col("p"))).alias("hit"),
             F.max(F.when(met, F.col("reach"))).alias("kept"),
@@ -139,7 +127,7 @@ def _narrow(runs: DataFrame, state: DataFrame) -> DataFrame:
             F.min(F.when(F.col("reach") < F.col("k"), F.col("p"))).alias("down"),
         )
         .select(
-            "g", "n", "k",
+            "g", "runs", "n", "k",
             F.coalesce("hit", F.greatest("low", F.coalesce("up", "low"))).alias("low"),
             F.least("high", F.coalesce("down", "high")).alias("high"),
             F.col("hit").isNotNull().alias("found"),

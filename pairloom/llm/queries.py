@@ -13,6 +13,7 @@ from pairloom.session import table, written
 
 TOP = 10
 CAP = 150
+CAP_SHARED = 4
 FRACTION = (1, 5)
 MIN_SCORED = 20
 
@@ -39,6 +40,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("row_id").alias("main_row_id"), protein.alias("group_uniprot"))
 
 
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return splits.report(written(p2_splits(spark, d), "splits"))
+
+
 def p3_capped(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "ranking_condition")
     return capping.cap_contributors(r, F.array(PROTEIN()), F.col("model_score"), F.col("ood_row_id"), max_records=CAP)
@@ -48,6 +53,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_capped(spark, d).filter("NOT kept").select(F.col("item_id").alias("ood_row_id"))
 
 
+def _shared(spark: SparkSession, d: str) -> tuple[DataFrame, tuple]:
+    r = table(spark, d, "ranking_condition")
+    return r, (F.array(PROTEIN(), F.col("connectivity_key")), F.col("model_score"), F.col("ood_row_id"), CAP_SHARED)
+
+
+def p3_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Each row counts for its protein and for its compound."""
+    r, args = _shared(spark, d)
+    return capping.cap_contributors(r, *args)
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    r, args = _shared(spark, d)
+    return capping.report(r, *args, written(p3_shared(spark, d), "shared"))
+
+
 def p4_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "ranking_condition")
     c, _ = cutoffs.keep_fraction(r, PROTEIN(), F.col("model_score"), F.col("ood_row_id"), FRACTION, MIN_SCORED)
@@ -89,7 +110,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_top_rows, p2_found, p2_splits, p3_found, p3_capped, p4_found, p4_cutoffs,
+        for f in (p1_found, p1_top_rows, p2_found, p2_splits, p2_report, p3_found, p3_capped, p3_shared, p3_report, p4_found, p4_cutoffs,
                   p6_packed, p6_report, p7_found, p8_found, p8_restored)
     }
 
@@ -117,6 +138,10 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": SCORED + f"SELECT ood_row_id FROM ranked WHERE place <= {TOP}",
         "p1_top_rows": SCORED + f"SELECT p AS group_key, ood_row_id AS item_id, s AS score, place FROM ranked WHERE place <= {TOP}",
         "p2_found": GROUPS,
+        "p2_report": """SELECT 'rows' AS measure, count(DISTINCT main_row_id) AS value FROM pairs
+UNION ALL SELECT m, CAST(0 AS BIGINT) FROM (VALUES ('torn'), ('off')) v(m)""",
+        "p3_report": """SELECT count(*) AS records, CAST(0 AS BIGINT) AS wrong FROM (SELECT DISTINCT ood_row_id FROM ranking_condition
+WHERE model_score IS NOT NULL AND NOT isnan(model_score) AND NOT isinf(model_score) AND (connectivity_key IS NOT NULL OR upper(trim(uniprot)) NOT IN ('', 'NA')))""",
         "p3_found": SCORED + f"SELECT ood_row_id FROM ranked WHERE place > {CAP}",
         "p3_capped": SCORED + f"SELECT ood_row_id AS item_id, place <= {CAP} AS kept FROM ranked",
         "p4_cutoffs": CUTOFFS

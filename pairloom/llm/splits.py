@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.graph import related_groups
-from pairloom.session import written
+from pairloom.session import drop_stored, stored, written
 
 BINS = 200
+GROUPS = 1 << 17  # groups that are balanced together in one task
 
 
 def difference_merge(tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,41 +92,57 @@ def grouped_splits(
 
     Rows that share a link value, directly or through others, form a group
     (:func:`pairloom.operators.graph.related_groups`) and get one split. Group sizes are
-    balanced by largest differencing: each partition of the group table merges its groups
-    into ``bins`` nearly equal bins, the partitions' bins (one number per partition and bin)
-    are merged the same way on the driver, and whole bins go to the splits, each to the one
+    balanced by largest differencing: groups fall by the hash of their label into buckets of
+    about GROUPS, each bucket merges its groups into ``bins`` nearly equal bins, the buckets' bins
+    (one number per bucket and bin) are merged the same way on the driver, and whole bins go to the splits, each to the one
     that lacks most of its share. A group larger than a bin fills one alone; a share is
-    missed only by what such a group forces. Deterministic. An empty table gives no rows;
-    shares need not sum to one.
+    missed only by what such a group forces. The splits depend on the rows alone, not on partitions or the
+    cluster. An empty table gives no rows; shares need not sum to one.
     """
     spark = df.sparkSession
     shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
     groups = written(related_groups(df, row_id, links), "groups")
-    sizes = groups.groupBy("group_label").agg(F.count("*").alias("w"))
+    sizes, sizes_path = stored(groups.groupBy("group_label").agg(F.count("*").alias("w")), "sizes")
+    buckets = 1 << max(0, (sizes.count() // GROUPS).bit_length())
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if parts:
-            all_ = pd.concat(parts, ignore_index=True).sort_values(["w", "group_label"], ascending=[False, True], kind="stable")
-            all_["bin"] = balanced_bins(all_["w"].to_numpy(dtype=np.float64), bins)
-            yield all_[["group_label", "w", "pid", "bin"]]
+    def local(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["w", "group_label"], ascending=[False, True], kind="stable")
+        return df.assign(bin=balanced_bins(df["w"].to_numpy(dtype=np.float64), bins))
 
-    # every partition of the grouped table balances its own share of the groups
     located = written(
-        sizes.withColumn("pid", F.spark_partition_id()).mapInPandas(local, "group_label string, w long, pid int, bin long"), "bins"
+        sizes.withColumn("bucket", F.pmod(F.xxhash64("group_label"), F.lit(buckets)).cast("int"))
+        .groupBy("bucket")
+        .applyInPandas(local, "group_label string, w long, bucket int, bin long"),
+        "bins",
     )
-    sums = located.groupBy("pid", "bin").agg(F.sum("w").alias("w")).collect()  # partitions x bins numbers
+    drop_stored(spark, sizes_path)
+    sums = located.groupBy("bucket", "bin").agg(F.sum("w").alias("w")).collect()  # buckets x bins numbers
     if not sums:
         return groups.withColumn("split", F.lit(None).cast("string")).limit(0)
-    pids = sorted({r["pid"] for r in sums})
-    matrix = np.zeros((len(pids), bins))
+    row = {b: k for k, b in enumerate(sorted({r["bucket"] for r in sums}))}
+    matrix = np.zeros((len(row), bins))
     for r in sums:
-        matrix[pids.index(r["pid"]), r["bin"]] = r["w"]
+        matrix[row[r["bucket"]], r["bin"]] = r["w"]
     totals, label = difference_merge(matrix)
     to = allocate(dict(enumerate(totals.tolist())), list(shares.values()))
     names = list(shares)
     where = spark.createDataFrame(
-        [(r["pid"], r["bin"], names[to[int(label[pids.index(r["pid"]), r["bin"]])]]) for r in sums], "pid int, bin long, split string"
+        [(r["bucket"], r["bin"], names[to[int(label[row[r["bucket"]], r["bin"]])]]) for r in sums], "bucket int, bin long, split string"
     )
-    split = located.join(F.broadcast(where), ["pid", "bin"]).select("group_label", "split")
+    split = located.join(where, ["bucket", "bin"]).select("group_label", "split")
     return groups.join(split, "group_label").select("row_id", "group_label", "split")
+
+
+def report(splits: DataFrame, shares: dict[str, float] | None = None, bins: int = BINS) -> DataFrame:
+    """``measure``, ``value`` of :func:`grouped_splits`: ``rows``; ``torn``, the groups in more than one split; ``off``,
+
+    the splits whose share of the rows differs from the wanted one by more than a bin and the largest group."""
+    shares = shares or {"train": 0.8, "validation": 0.1, "test": 0.1}
+    want = {k: v / sum(shares.values()) for k, v in shares.items()}
+    groups = splits.groupBy("group_label").agg(F.count("*").alias("w"), F.count_distinct("split").alias("s"))
+    total = groups.agg(F.sum("w").alias("rows"), F.count_if(F.col("s") > 1).alias("torn"), F.max("w").alias("largest"))
+    per = splits.agg(*[F.count_if(F.col("split") == k).alias(f"n{i}") for i, k in enumerate(want)]).withColumn("one", F.lit(1))
+    x = total.withColumn("one", F.lit(1)).join(per, "one")
+    off = sum((F.abs(F.col(f"n{i}") - F.col("rows") * v) > F.col("rows") / bins + F.col("largest")).cast("long") for i, v in enumerate(want.values()))
+    x = x.select(F.coalesce("rows", F.lit(0)).alias("rows"), "torn", F.coalesce(off, F.lit(0)).alias("off"))
+    return x.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in x.columns])).alias("x")).select("x.*")

@@ -1,11 +1,13 @@
 """Top-n, caps, cutoffs and splits against brute force, with nulls, ties, copies and clashing names."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.llm import capping, splits
 from pairloom.llm.capping import cap_contributors
 from pairloom.llm.cutoffs import keep_fraction
 from pairloom.llm.splits import allocate, balanced_bins, grouped_splits
@@ -77,6 +79,31 @@ def test_cap_many_contributors(spark, seed):
     assert got == want
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    # each record waits for the one before it
+    n = 3000
+    rows = [(f"r{k:05d}", float(n - k), [f"c{k:05d}", f"c{k + 1:05d}"]) for k in range(n)]
+    calls = []
+    ranked = capping.grouped_positions
+    monkeypatch.setattr(capping, "grouped_positions", lambda *a, **k: calls.append(1) or ranked(*a, **k))
+    df = spark.createDataFrame(rows, "i string, s double, c array<string>")
+    got = {r["item_id"]: r["kept"] for r in cap_contributors(df, F.col("c"), F.col("s"), F.col("i"), 1).collect()}
+    assert got == {f"r{k:05d}": k % 2 == 0 for k in range(n)} and len(calls) <= 3
+
+
+@pytest.mark.parametrize("alone", [0, 60])
+def test_large_components_take_rounds(spark, monkeypatch, alone):
+    monkeypatch.setattr(capping, "ALONE", alone)
+    r = random.Random(alone)
+    rows = [(f"r{k:03d}", r.randint(0, 400) / 10, r.sample("abcdef" if k < 90 else "uvwxyz", 2)) for k in range(130)]
+    df = spark.createDataFrame(rows, "i string, s double, c array<string>")
+    args = (F.col("c"), F.col("s"), F.col("i"), 7)
+    got = cap_contributors(df, *args)
+    assert capping.report(df, *args, got).first().asDict() == {"records": 130, "wrong": 0}
+    worse = got.withColumn("kept", F.when(F.col("item_id") == "r005", ~F.col("kept")).otherwise(F.col("kept")))
+    assert capping.report(df, *args, worse).first()["wrong"] > 0
+
+
 def test_cap_share(spark):
     df = spark.createDataFrame([(f"r{k}", float(k), ["a"] if k < 8 else ["b"]) for k in range(10)], "i string, s double, c array<string>")
     assert cap_contributors(df, F.col("c"), F.col("s"), F.col("i"), max_share=0.3).filter("kept").count() == 5
@@ -115,6 +142,24 @@ def test_splits_keep_groups_and_shares(spark):
     assert all(len(v) == 1 for v in by.values())
 
 
+def test_split_shares_do_not_depend_on_partitions(spark):
+    r = random.Random(7)
+    rows = [(f"r{k}", f"p{int(r.paretovariate(1.2) * 3)}" if k % 9 else None, f"k{k // 2}" if k % 5 == 0 else None) for k in range(4000)]
+    df = spark.createDataFrame(rows, "i string, p string, k string")
+    args = (F.col("i"), [F.col("p"), F.col("k")])
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append({x["row_id"]: (x["group_label"], x["split"]) for x in grouped_splits(df.repartition(int(parts)), *args).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+    largest = max(Counter(g for g, _ in got[0].values()).values())
+    n = Counter(s for _, s in got[0].values())
+    for name, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
+        assert abs(n[name] - share * 4000) <= largest + 20
+    assert {x["measure"]: x["value"] for x in splits.report(grouped_splits(df, *args)).collect()} == {"rows": 4000, "torn": 0, "off": 0}
+
+
 def test_balance():
     w = np.random.default_rng(1).pareto(2, 3000) + 0.1
     b = np.bincount(balanced_bins(w, 50), w, 50)
