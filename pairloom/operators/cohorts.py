@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import written
+from pairloom.session import drop_stored, stored, written
 
 
 def both_roles(df: DataFrame, identity: str, label: str = "y") -> DataFrame:
@@ -28,17 +28,86 @@ def role_fixpoint(df: DataFrame, identities: Sequence[str], label: str = "y") ->
     """Alternates :func:`both_roles` over the identities until no row goes; with the rows left after each round."""
     state, history = written(df, "roles"), []
     history.append(state.count())
+    spark, path = df.sparkSession, None
     while True:
         new = state
         for i in identities:
             new = both_roles(new, i, label)
-        new = written(new, "roles")
+        new, new_path = stored(new, "roles")
+        drop_stored(spark, path)
+        path = new_path
         history.append(new.count())
         if history[-1] == history[-2]:
             return new, history
         state = new
 
 
+def construct_datasets(df: DataFrame, eligible: Column, protein: str = "u", ligand: str = "k", label: str = "y", checked: bool = True) -> DataFrame:
+    """``df`` once for each of the cohorts it belongs to, named in ``dataset``.
+
+    ``every_pair`` has all rows, ``both_class_proteins`` the frozen (``eligible``) ones, ``both_class_ligands``
+    those whose ligand has both labels, and ``both_class_proteins_ligands`` what alternating both rules
+    leaves of the frozen rows. With ``checked``, raises where a frozen protein lacks a label.
+    """
+    from pairloom.operators.checks import require
+
+    frozen = df.filter(F.coalesce(eligible, F.lit(False)))
+    if checked:
+        require({"Frozen membership must retain both labels": frozen.groupBy(protein).agg(F.count_distinct(label).alias("n")).filter("n <> 2")})
+    parts = {
+        "every_pair": df, "both_class_proteins": frozen, "both_class_ligands": both_roles(df, ligand, label),
+        "both_class_proteins_ligands": role_fixpoint(frozen, [protein, ligand], label)[0],
+    }
+    return _named(parts)
+
+
+def complete_cohorts(df: DataFrame, protein: str = "u", ligand: str = "k", label: str = "y") -> tuple[DataFrame, list[int]]:
+    """(``df`` once per cohort, rows left of the last cohort after each round), from labels alone.
+
+    The last cohort starts with the proteins that have both labels, then the ligands among them.
+    """
+    p = both_roles(df, protein, label)
+    both, history = role_fixpoint(both_roles(p, ligand, label), [protein, ligand], label)
+    return _named({"every_pair": df, "both_class_proteins": p, "both_class_ligands": both_roles(df, ligand, label), "both_class_proteins_ligands": both}), history
+
+
+def _named(parts: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, part in parts.items():
+        own = part.withColumn("dataset", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def temporal_cohorts(df: DataFrame, year: str, cutoff: int, pair: Sequence[str], protein: str = "u", ligand: str = "k", label: str = "y") -> tuple[DataFrame, DataFrame]:
+    """(rows, counts) of a time split: the cohorts of the early rows with their chronological validation, and the later test.
+
+    rows: ``df`` with ``dataset`` and ``part``: train or validation in a cohort, and test, unknown and removed with
+    the dataset ``later``. counts: per dataset and part (``refit`` is train and validation
+    together) rows, positives, distinct entities and the boundary year. Raises on undated or later rows in a cohort,
+    single-label cohorts, and cohorts without a boundary.
+    """
+    from pairloom.operators.checks import require
+
+    split = written(time_split(df, year, cutoff, pair), "split")
+    cohorts, _ = complete_cohorts(split.filter("part = 'early'").drop("part"), protein, ligand, label)
+    cohorts = written(cohorts, "cohorts")
+    bound = written(chronological_boundary(cohorts, year, label, ["dataset"]), "boundaries")
+    require(
+        {
+            "Undated or later rows": cohorts.filter(F.col(year).isNull() | (F.col(year) > cutoff)),
+            "A cohort needs both labels": cohorts.groupBy("dataset").agg(F.count_distinct(label).alias("n")).filter("n <> 2"),
+            "No chronological validation with both labels": cohorts.select("dataset").distinct().join(bound, "dataset", "left_anti"),
+        }
+    )
+    dated = cohorts.join(F.broadcast(bound), "dataset").withColumn("part", F.when(F.col(year) <= F.col("boundary"), "train").otherwise("validation"))
+    later = split.filter("part <> 'early'").withColumn("part", F.when(F.col("part") == "future", "test").otherwise(F.col("part"))).withColumn("dataset", F.lit("later"))
+    cols = [*df.columns, "dataset", "part"]
+    every = dated.withColumn("part", F.explode(F.array(F.lit("refit"), F.col("part"))))
+    counts = dataset_counts(every, ["dataset", "part", "boundary"], label, protein, ligand)
+    return dated.select(cols).unionByName(later.select(cols)), counts
+
+
 def dataset_counts(df: DataFrame, by: Sequence[str], label: str = "y", a: str = "u", b: str = "k") -> DataFrame:
     """``rows``, ``positives``, ``n_a``, ``n_b`` per group: rows, label sum and distinct entities."""
     return df.groupBy(*by).agg(
@@ -136,7 +205,11 @@ def chronological_boundary(df: DataFrame, year: str, label: str, by: Sequence[st
 
 
 def training_weights(df: DataFrame, entity: str, label: str) -> DataFrame:
-    """``df`` with ``weight``: 1 / rows of its (entity, label), scaled to equal totals per label and to n overall."""
+    """``df`` with ``weight``: 1 / rows of its (entity, label), scaled to equal totals per label and to n overall.
+
+    Rows without an entity or a label get no weight and do not count in n.
+    """
+    df = df.filter(F.col(entity).isNotNull() & F.col(label).isNotNull())
     size = df.groupBy(entity, label).agg(F.count("*").alias("c__"))
     per = size.groupBy(label).agg(F.count("*").alias("groups__"))  # one unit of weight per (entity, label)
     n = df.count()

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.session import written
+
 XYZ = ("x", "y", "z")
 
 
@@ -43,11 +45,38 @@ def within_radius(left: DataFrame, right: DataFrame, on: Sequence[str], radius:
     )
 
 
-def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """``min_distance`` per left key to the right points with equal ``on``: a pose of few atoms against its receptor."""
-    r = right.groupBy(*on).agg(F.collect_list(F.struct(*XYZ)).alias("p__"))
-    d2 = F.array_min(F.transform("p__", lambda p: sum(((F.col(c) - p[c]) * (F.col(c) - p[c]) for c in XYZ), F.lit(0.0))))
-    return left.join(r, list(on)).groupBy(*keys).agg(F.sqrt(F.min(d2)).alias("min_distance"))
+def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], keys: Sequence[str], radius: float = 2.0) -> DataFrame:
+    """``min_distance`` per left key to the right points with equal ``on``.
+
+    Cells around each point are searched (:func:`within_radius`), with a radius that doubles
+    for the keys that have found nothing yet: the nearest point inside the radius is the nearest of all. Keys without a
+    right point, and points with a missing or infinite coordinate, are left out.
+    """
+    good = F.lit(True)
+    for c in XYZ:
+        good = good & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e15)
+    r = right.filter(good).select(*on, *XYZ)
+    open_ = left.filter(good).join(r.select(*on).distinct(), list(on), "left_semi").select(*dict.fromkeys([*on, *keys]), *XYZ)
+    done = []
+    while True:
+        near = written(within_radius(open_, r, on, radius).groupBy(*keys).agg(F.min("distance").alias("min_distance")), "nearest")
+        done.append(near)
+        open_ = written(null_safe_anti(open_, near, keys), "far")
+        if not open_.limit(1).count():
+            break
+        radius *= 2
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def null_safe_anti(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    r = right.select(*[F.col(k).alias(f"{k}__r") for k in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}__r"))
+    return left.join(r, cond, "left_anti")
 
 
 def min_image_distance(a: str, b: str, cell: Sequence[float]) -> Column:

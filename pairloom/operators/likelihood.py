@@ -51,18 +51,20 @@ def quantile_edges(long: DataFrame) -> DataFrame:
     key = F.to_json(F.struct("fit", "code"), {"ignoreNullFields": "false"})
     run = grouped_positions(vals, key, [(F.col("x"), False)], carry={"fit": F.col("fit"), "code": F.col("code"), "n": F.col("n")}, sums={"cum": F.col("n")})
     total = vals.groupBy("fit", "code").agg(F.sum("n").alias("t")).withColumn("b", F.ceil(F.pow(F.col("t").cast("double"), F.lit(1.0 / 3.0)) - 1e-12))
-    want = (
-        total.filter("b > 1")
-        .select("fit", "code", "t", F.explode(F.sequence(F.lit(1), F.col("b").cast("int") - 1)).alias("i"), "b")
-        .withColumn("h", (F.col("t") - 1) * (F.col("i") / F.col("b").cast("double")))
-        .select("fit", "code", "i", (F.col("h") - F.floor("h")).alias("part"), F.floor("h").alias("lo"), F.least(F.floor("h") + 1, F.col("t") - 1).alias("hi"))
+    # a value that takes the places a to z says itself between which quantiles it lies: those of number i
+    # whose place h = (t - 1) i / b has its lower or upper neighbour among them
+    runs = run.select(F.col("fit").alias("f"), F.col("code").alias("c"), F.col("o0").alias("x"), (F.col("cum") - F.col("n")).alias("a"), (F.col("cum") - 1).alias("z"))
+    near = runs.join(F.broadcast(total.filter("b > 1")), F.col("f").eqNullSafe(F.col("fit")) & (F.col("c") == F.col("code")))
+    step = F.col("b") / (F.col("t") - 1).cast("double")
+    first = F.greatest(F.lit(1), F.floor((F.col("a") - 1) * step) - 1).cast("int")
+    last = F.least(F.col("b") - 1, F.ceil((F.col("z") + 1) * step) + 1).cast("int")
+    near = near.filter(first <= last).select("fit", "code", "x", "a", "z", "t", "b", F.explode(F.sequence(first, last)).alias("i"))
+    near = near.withColumn("h", (F.col("t") - 1) * (F.col("i") / F.col("b").cast("double")))
+    low, high = F.floor("h"), F.least(F.floor("h") + 1, F.col("t") - 1)
+    held = lambda p: (p >= F.col("a")) & (p <= F.col("z"))
+    at = near.filter(held(low) | held(high)).groupBy("fit", "code", "i", (F.col("h") - low).alias("part")).agg(
+        F.max(F.when(held(low), F.col("x"))).alias("x0"), F.max(F.when(held(high), F.col("x"))).alias("x1")
     )
-    runs = run.select("fit", "code", F.col("o0").alias("x"), (F.col("cum") - F.col("n")).alias("a"), F.col("cum").alias("b"))
-    same = (F.col("w.code") == F.col("r.code")) & F.col("w.fit").eqNullSafe(F.col("r.fit"))
-    # the quantiles of a fit are n^(1/3) rows; each meets the values whose places enclose it
-    at = want.alias("w").join(
-        runs.alias("r"), same & (F.col("r.b") > F.col("w.lo")) & (F.col("r.a") <= F.col("w.hi"))
-    ).groupBy("w.fit", "w.code", "w.i", "w.part").agg(F.min("r.x").alias("x0"), F.max("r.x").alias("x1"))
     return at.select("fit", "code", (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("part")).alias("e")).groupBy("fit", "code").agg(
         F.array_sort(F.collect_set("e")).alias("edges")
     )

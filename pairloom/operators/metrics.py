@@ -17,7 +17,10 @@ def binary_metrics(df: DataFrame, group: Sequence[str], label: Column, score: Co
     null for groups of one class. Rows without a finite score or with a null label are left out;
     ties count half in the AUROC and share a threshold in the average precision.
     """
-    t = tie_table(df.filter(label.isNotNull()), group, score, {"p": label})
+    outer, group = list(group), [f"g{i}__" for i in range(len(group))]
+    # own names, so that a group may have any
+    rows = df.filter(label.isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(outer, group)], label.alias("y__"), score.alias("s__"))
+    t = tie_table(rows, group, F.col("s__"), {"p": F.col("y__")})
     totals = t.groupBy(*group).agg(F.sum("n").alias("tn"), F.sum("p").alias("tp"))
     x = null_safe_join(t, totals, group) if group else t.crossJoin(F.broadcast(totals))
     p, n = F.col("p"), F.col("n")
@@ -33,7 +36,7 @@ def binary_metrics(df: DataFrame, group: Sequence[str], label: Column, score: Co
         F.sum(F.when(two, neg / tneg * (up_neg / up_n))).alias("ap_neg"),
     )
     return agg.select(
-        *group,
+        *[F.col(n).alias(c) for c, n in zip(outer, group)],
         "n",
         "n_pos",
         F.expr("try_divide(u_stat, CAST(n_pos AS DOUBLE) * (n - n_pos))").alias("auroc"),

@@ -6,19 +6,21 @@ seed, for all statistics alike; a replicate is a product of draw counts and clus
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_CLUSTERS = 200_000
 EXACT_CLUSTERS = 12
-
-
-def multinomial_draws(clusters: int, replicates: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).multinomial(clusters, np.ones(clusters) / clusters, size=replicates)
+EXACT_RANKS = 50  # values up to which signed ranks without ties get their exact distribution
+MAX_CELLS = 4_000_000  # cluster pairs that the driver may hold
+BLOCK_CELLS = 1 << 22  # replicates x clusters that are drawn at once
 
 
 def cluster_sums(df: DataFrame, cluster: str, columns: Sequence[str], limit: int = MAX_CLUSTERS) -> tuple[list, np.ndarray]:
@@ -27,12 +29,23 @@ def cluster_sums(df: DataFrame, cluster: str, columns: Sequence[str], limit: int
     A table with more clusters than the limit raises: its interval needs no resampling to be narrow.
     """
     g = df.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in columns])
-    if g.count() > limit:
+    rows = sorted(g.limit(limit + 1).collect(), key=lambda r: r[cluster])
+    if len(rows) > limit:
         raise ValueError("Too many clusters for resampling on the driver")
-    rows = sorted(g.collect(), key=lambda r: r[cluster])
     return [r[cluster] for r in rows], np.array([[r[c] for c in columns] for r in rows]).reshape(-1, len(columns))
 
 
+def drawn(clusters: int, replicates: int, seed: int, legacy: bool = False) -> Iterator[np.ndarray]:
+    """How often each replicate draws each cluster, in blocks of replicates so that no block is large.
+
+    Successive blocks of one generator are what a single call gives. ``legacy`` takes NumPy's older generator.
+    """
+    rng = np.random.RandomState(seed) if legacy else np.random.default_rng(seed)
+    step = max(1, BLOCK_CELLS // max(1, clusters))
+    for a in range(0, replicates, step):
+        yield rng.multinomial(clusters, np.full(clusters, 1 / clusters), size=min(step, replicates - a))
+
+
 def interval(values: np.ndarray, least: float = 0.95) -> tuple[float | None, float | None, int]:
     """2.5 % and 97.5 % quantiles and the number of finite replicates; no bounds if too few are finite."""
     ok = np.isfinite(values)
@@ -43,6 +56,11 @@ def interval(values: np.ndarray, least: float = 0.95) -> tuple[float | None, flo
     return float(lo), float(hi), n
 
 
+def ratio(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(bottom > 0, top / bottom, np.nan)
+
+
 def bootstrap_ratio(df: DataFrame, cluster: str, numerator: str, denominator: str, replicates: int = 10_000, seed: int = 20260922) -> DataFrame:
     """One row: ``estimate``, ``ci_low``, ``ci_high``, ``valid_replicates`` of sum(numerator) / sum(denominator)."""
     spark: SparkSession = df.sparkSession
@@ -50,33 +68,50 @@ def bootstrap_ratio(df: DataFrame, cluster: str, numerator: str, denominator: st
     schema = "estimate double, ci_low double, ci_high double, valid_replicates long"
     if not len(sums):
         return spark.createDataFrame([], schema)
-    w = multinomial_draws(len(sums), replicates, seed) @ sums
-    with np.errstate(divide="ignore", invalid="ignore"):
-        lo, hi, n = interval(np.where(w[:, 1] > 0, w[:, 0] / w[:, 1], np.nan))
+    w = np.concatenate([d @ sums for d in drawn(len(sums), replicates, seed)])
+    lo, hi, n = interval(ratio(w[:, 0], w[:, 1]))
     t = sums.sum(axis=0)
     return spark.createDataFrame([(float(t[0] / t[1]) if t[1] else None, lo, hi, n)], schema)
 
 
-def sign_flip(df: DataFrame, cluster: str, value: str, exact: int = EXACT_CLUSTERS, replicates: int = 10_000, seed: int = 20261012) -> DataFrame:
-    """One row: ``n``, ``clusters``, ``delta``, ``p``, ``method`` for the mean of ``value`` under sign flips of whole clusters.
+def block_statistics(sums: np.ndarray, sizes: np.ndarray, replicates: int = 10_000, exact: int = EXACT_CLUSTERS, flips: int = 10_000, seed: int = 20261012) -> dict:
+    """``delta``, ``ci_low``, ``ci_high``, ``p``, ``method`` of the mean of values that come in blocks, given each block's sum and size.
 
-    All sign vectors up to ``exact`` clusters, drawn ones with one added beyond.
+    The interval comes from replicates that draw as many blocks as there are; one generator
+    serves these draws first and the sign flips after them. Up to ``exact`` blocks, the sums under all sign vectors are
+    built up block by block; beyond, signs are drawn and one is added to both counts.
     """
+    c, n = len(sums), sizes.sum()
+    delta = float(sums.sum() / n)
+    rng = np.random.default_rng(seed)
+    step = max(1, BLOCK_CELLS // c)
+    means = []
+    for a in range(0, replicates, step):
+        rows = min(step, replicates - a)
+        picks = rng.integers(0, c, (rows, c)) + np.arange(rows)[:, None] * c
+        times = np.bincount(picks.ravel(), minlength=rows * c).reshape(rows, c)
+        means.append((times @ sums) / (times @ sizes))
+    lo, hi = np.quantile(np.concatenate(means), [0.025, 0.975])
+    far = abs(delta) * n - 1e-12 * n
+    if c <= exact:
+        every = np.zeros(1)
+        for s in sums:
+            every = np.concatenate([every - s, every + s])
+        p, method = float((np.abs(every) >= far).mean()), "exact"
+    else:
+        hits = sum(int((np.abs(rng.choice([-1, 1], size=(min(step, flips - a), c)) @ sums) >= far).sum()) for a in range(0, flips, step))
+        p, method = (hits + 1) / (flips + 1), "monte_carlo"
+    return {"delta": delta, "ci_low": float(lo), "ci_high": float(hi), "p": p, "method": method}
+
+
+def sign_flip(df: DataFrame, cluster: str, value: str, exact: int = EXACT_CLUSTERS, replicates: int = 10_000, seed: int = 20261012) -> DataFrame:
+    """One row: ``n``, ``clusters``, ``delta``, ``p``, ``method`` for the mean of ``value`` under sign flips of whole clusters (:func:`block_statistics`)."""
     _, sums = cluster_sums(df.withColumn("one__", F.lit(1)), cluster, [value, "one__"])
-    spark = df.sparkSession
     schema = "n long, clusters long, delta double, p double, method string"
     if not len(sums):
-        return spark.createDataFrame([], schema)
-    s, n = sums[:, 0], int(sums[:, 1].sum())
-    delta = s.sum() / n
-    if len(s) <= exact:
-        bits = (np.arange(2 ** len(s))[:, None] >> np.arange(len(s))) & 1
-        null, method = (2 * bits - 1) @ s / n, "exact"
-        p = float(np.mean(np.abs(null) >= abs(delta) - 1e-12))
-    else:
-        null, method = np.random.default_rng(seed).choice([-1, 1], size=(replicates, len(s))) @ s / n, "monte_carlo"
-        p = float((1 + np.sum(np.abs(null) >= abs(delta) - 1e-12)) / (len(null) + 1))
-    return spark.createDataFrame([(n, len(s), float(delta), p, method)], schema)
+        return df.sparkSession.createDataFrame([], schema)
+    x = block_statistics(sums[:, 0], sums[:, 1], replicates, exact, seed=seed)
+    return df.sparkSession.createDataFrame([(int(sums[:, 1].sum()), len(sums), x["delta"], x["p"], x["method"])], schema)
 
 
 def paired_roles(df: DataFrame, unit: Sequence[str], role: str, value: str) -> DataFrame:
@@ -110,9 +145,10 @@ def holm(df: DataFrame, family: Sequence[str], p: str, tie: str, size: int | Non
 
 
 def wilcoxon(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """``n``, ``w_plus``, ``p`` of the signed-rank test by the normal approximation with tie correction.
+    """``n``, ``w_plus``, ``p`` of the signed-rank test.
 
-    Zeros are dropped. A group without other values has a null p. Exact null distribution: :func:`wilcoxon_exact`.
+    Zeros are dropped. Up to EXACT_RANKS values without ties the p is exact, else it is that of the normal approximation
+    with tie correction. A group without other values than zero has no row.
     """
     from pairloom.operators.ranks import tie_table
 
@@ -125,26 +161,47 @@ def wilcoxon(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     m = F.col("m").cast("double")
     var = m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48
     z = F.abs(F.col("w_plus") - m * (m + 1) / 4) / F.sqrt(var)
-    g = g.withColumn("z", F.when(var > 0, z))
-    normal = F.udf(lambda z: None if z is None else math.erfc(z / math.sqrt(2)), "double")  # one call per group
-    return g.select(*group, F.col("m").alias("n"), "w_plus", normal("z").alias("p"))
 
+    def exact(m: pd.Series, w: pd.Series, whole: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_p(int(n), float(v)) if k else None for n, v, k in zip(m, w, whole)], dtype="float64")
 
-def wilcoxon_exact(values: Sequence[float]) -> float:
-    """Two-sided p of at most 50 distinct non-zero magnitudes, by the distribution of all sign vectors."""
-    x = [v for v in values if v]
-    order = sorted(range(len(x)), key=lambda i: abs(x[i]))
-    up = sum(k + 1 for k, i in enumerate(order) if x[i] > 0)
+    return g.withColumn("whole", (F.col("m") <= EXACT_RANKS) & (F.col("ties") == 0)).select(
+        *group, F.col("m").alias("n"), "w_plus",
+        F.when(F.col("whole"), F.pandas_udf(exact, "double")("m", "w_plus", "whole")).when(var > 0, erfc(z / math.sqrt(2))).alias("p"),
+    )
+
+
+def erfc(x: Column) -> Column:
+    """1 - erf of a non-negative number, with a relative error below 1.2e-7 (a published Chebyshev fit, its coefficients are fixed values)."""
+    t = 1 / (1 + 0.5 * x)
+    fit = F.lit(0.17087277)
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        fit = fit * t + c
+    return t * F.exp(fit - x * x)
+
+
+@lru_cache(maxsize=64)
+def _rank_sums(n: int) -> np.ndarray:
+    """In how many of the 2^n sign vectors the positive ranks add up to each sum."""
     ways = np.ones(1)
-    for k in range(1, len(x) + 1):
-        new = np.zeros(len(ways) + k)
-        new[: len(ways)] += ways
-        new[k:] += ways
-        ways = new
-    low = min(up, len(ways) - 1 - up)
+    for k in range(1, n + 1):
+        ways = np.concatenate([ways, np.zeros(k)]) + np.concatenate([np.zeros(k), ways])
+    return ways
+
+
+def signed_rank_p(n: int, w_plus: float) -> float:
+    """Two-sided p of the sum of the positive ranks of ``n`` distinct magnitudes, by the distribution over all sign vectors."""
+    ways = _rank_sums(n)
+    low = int(min(w_plus, len(ways) - 1 - w_plus))
     return float(min(1.0, 2 * ways[: low + 1].sum() / ways.sum()))
 
 
+def wilcoxon_exact(values: Sequence[float]) -> float:
+    """:func:`signed_rank_p` of values of distinct magnitude; zeros are dropped."""
+    x = sorted((v for v in values if v), key=abs)
+    return signed_rank_p(len(x), sum(k + 1 for k, v in enumerate(x) if v > 0))
+
+
 def cluster_pair_matrix(df: DataFrame, cluster: str, label: str, score: str) -> DataFrame:
     """``pos``, ``neg``, ``wins``: over all pairs of a positive row of one cluster and a negative row of
     another, the positives that score higher, ties half.
@@ -153,8 +210,6 @@ def cluster_pair_matrix(df: DataFrame, cluster: str, label: str, score: str) ->
     inside a partition each positive is set against the running negatives per cluster, and
     whole partitions below enter by their negative counts. Meant for few clusters (families): the result has up to C x C rows.
     """
-    import pandas as pd
-
     from pairloom.session import shuffle_partitions, written
 
     spark = df.sparkSession
@@ -194,30 +249,105 @@ def cluster_pair_matrix(df: DataFrame, cluster: str, label: str, score: str) ->
         yield pd.DataFrame(rows, columns=["kind", "c", "d", "v"])
 
     m = written(ordered.mapInPandas(local, f"kind string, c {kind}, d {kind}, v double").withColumn("pid", F.spark_partition_id()), "matrix")
-    pos, neg = m.filter("kind = 'p'"), m.filter("kind = 'n'")
-    across = pos.select("pid", F.col("c").alias("pos"), "v").join(neg.select(F.col("pid").alias("q"), F.col("c").alias("neg"), F.col("v").alias("u")), F.col("q") < F.col("pid"))
-    both = m.filter("kind = 'w'").select(F.col("c").alias("pos"), F.col("d").alias("neg"), F.col("v").alias("wins")).unionByName(across.select("pos", "neg", (F.col("v") * F.col("u")).alias("wins")))
+    # whole partitions below: one number per partition and cluster, added up from the lowest scores on
+    ends = m.filter("kind <> 'w'").groupBy("pid", "kind", "c").agg(F.sum("v").alias("v")).limit(MAX_CELLS + 1).collect()
+    if len(ends) > MAX_CELLS:
+        raise ValueError("Too many clusters for a matrix of cluster pairs")
+    names = sorted({r["c"] for r in ends})
+    at = {c: k for k, c in enumerate(names)}
+    below, wins = np.zeros(len(names)), np.zeros((len(names), len(names)))
+    for _, rows in itertools.groupby(sorted(ends, key=lambda r: r["pid"]), key=lambda r: r["pid"]):
+        own = np.zeros((2, len(names)))
+        for r in rows:
+            own[int(r["kind"] == "n"), at[r["c"]]] += r["v"]
+        wins += np.outer(own[0], below)
+        below += own[1]
+    across = [(names[i], names[j], float(wins[i, j])) for i, j in zip(*np.nonzero(wins))]
+    across = spark.createDataFrame(across, f"pos {kind}, neg {kind}, wins double")
+    both = m.filter("kind = 'w'").select(F.col("c").alias("pos"), F.col("d").alias("neg"), F.col("v").alias("wins")).unionByName(across)
     return both.groupBy("pos", "neg").agg(F.sum("wins").alias("wins"))
 
 
 def bootstrap_auroc_difference(df: DataFrame, cluster: str, label: str, a: str, b: str, replicates: int = 10_000, seed: int = 20260902) -> DataFrame:
     """One row: ``delta``, ``ci_low``, ``ci_high``, ``valid_replicates`` of the pooled AUROC of ``a`` minus that of ``b``; raises if fewer than 95 % of replicates are defined."""
-    spark = df.sparkSession
     rows = df.select(cluster, label, a, b).dropna().withColumn("neg__", 1 - F.col(label))
     names, sums = cluster_sums(rows, cluster, [label, "neg__"], 2_000)
     at = {c: i for i, c in enumerate(names)}
-    draws = multinomial_draws(len(names), replicates, seed).astype(float)
 
-    def auroc(score):
+    def wins(score: str) -> np.ndarray:
         m = np.zeros((len(names), len(names)))
         for r in cluster_pair_matrix(rows, cluster, label, score).collect():
             m[at[r["pos"]], at[r["neg"]]] = r["wins"]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            boot = np.einsum("rc,cd,rd->r", draws, m, draws, optimize=True) / ((draws @ sums[:, 0]) * (draws @ sums[:, 1]))
-        return m.sum() / (sums[:, 0].sum() * sums[:, 1].sum()), boot
+        return m
+
+    m = wins(a) - wins(b)
+    boot = []
+    for d in drawn(len(names), replicates, seed):
+        d = d.astype(float)
+        boot.append(ratio(((d @ m) * d).sum(axis=1), (d @ sums[:, 0]) * (d @ sums[:, 1])))
+    point = m.sum() / (sums[:, 0].sum() * sums[:, 1].sum())
+    return _difference(df.sparkSession, float(point), np.concatenate(boot))
 
-    (pa, ba), (pb, bb) = auroc(a), auroc(b)
-    lo, hi, n = interval(ba - bb)
+
+def _difference(spark: SparkSession, point: float, boot: np.ndarray) -> DataFrame:
+    lo, hi, n = interval(boot)
     if lo is None:
         raise ValueError("Fewer than 95% of bootstrap replicates are defined")
-    return spark.createDataFrame([(float(pa - pb), lo, hi, n)], "delta double, ci_low double, ci_high double, valid_replicates long")
+    return spark.createDataFrame([(point, lo, hi, n)], "delta double, ci_low double, ci_high double, valid_replicates long")
+
+
+def bootstrap_within(df: DataFrame, cluster: str, identity: Sequence[str], label: str, a: str, b: str, replicates: int = 10_000, seed: int = 20260902) -> DataFrame:
+    """Like :func:`bootstrap_auroc_difference` for the mean AUROC of the two-class groups of ``identity``.
+
+    Where each group lies in one cluster, its AUROC is fixed and a replicate weighs it by its
+    cluster's draws: sums per cluster are all that is needed. Where groups span clusters, a replicate
+    weighs the rows, and a group's AUROC follows from its wins between each two clusters; these are
+    counted in Spark, and their number is checked.
+    """
+    from pairloom.operators.metrics import binary_metrics
+
+    rows = df.select(F.col(cluster).alias("c__"), *[F.col(c).alias(f"i{k}__") for k, c in enumerate(identity)], F.col(label).alias("y__"), F.col(a).alias("a__"), F.col(b).alias("b__")).dropna()
+    cluster, identity, a, b = "c__", [f"i{k}__" for k in range(len(identity))], "a__", "b__"
+    two = rows.groupBy(*identity).agg(F.min("y__").alias("lo__"), F.max("y__").alias("hi__"), F.min(cluster).alias("c0__"), F.max(cluster).alias("c1__")).filter("lo__ <> hi__")
+    spread = two.filter("c0__ <> c1__").limit(1).count()
+    names = [r[0] for r in rows.select(cluster).distinct().limit(MAX_CLUSTERS + 1).collect()]
+    if len(names) > MAX_CLUSTERS:
+        raise ValueError("Too many clusters for resampling on the driver")
+    at = {c: i for i, c in enumerate(sorted(names))}
+    if not spread:
+        x = binary_metrics(rows, identity, F.col("y__"), F.col(a)).select(*identity, F.col("auroc").alias("ra__"))
+        y = binary_metrics(rows, identity, F.col("y__"), F.col(b)).select(*identity, F.col("auroc").alias("rb__"))
+        d = two.join(x, list(identity)).join(y, list(identity)).select("c0__", (F.col("ra__") - F.col("rb__")).alias("d__"), F.lit(1).alias("one__"))
+        have, part = cluster_sums(d, "c0__", ["d__", "one__"])
+        sums = np.zeros((len(at), 2))
+        for c, v in zip(have, part):
+            sums[at[c]] = v
+        w = np.concatenate([d @ sums for d in drawn(len(at), replicates, seed)])
+        t = sums.sum(axis=0)
+        return _difference(df.sparkSession, float(t[0] / t[1]), ratio(w[:, 0], w[:, 1]))
+    keyed = rows.join(two.select(*identity), list(identity)).withColumn("g__", F.xxhash64(*identity))
+    sides = keyed.groupBy("g__", cluster).agg(F.sum("y__").alias("p"), F.sum(1 - F.col("y__")).alias("n"))
+    pairs = []
+    for score in (a, b):
+        pos = keyed.filter("y__ = 1").groupBy("g__", F.col(cluster).alias("pos"), F.col(score).alias("s")).agg(F.count("*").alias("m"))
+        neg = keyed.filter("y__ = 0").groupBy("g__", F.col(cluster).alias("neg")).agg(F.sort_array(F.collect_list(score)).alias("t"))
+        # the negatives of one cluster in one group are few; each distinct score is compared with their sorted array
+        won = F.size(F.filter("t", lambda x: x < F.col("s"))) + 0.5 * F.size(F.filter("t", lambda x: x == F.col("s")))
+        pairs.append(pos.join(neg, "g__").groupBy("g__", "pos", "neg").agg(F.sum(F.col("m") * won).alias("w")))
+    m = pairs[0].withColumn("w", F.col("w")).unionByName(pairs[1].withColumn("w", -F.col("w"))).groupBy("g__", "pos", "neg").agg(F.sum("w").alias("w"))
+    cells, ends = m.limit(MAX_CELLS + 1).collect(), sides.limit(MAX_CELLS + 1).collect()
+    if max(len(cells), len(ends)) > MAX_CELLS:
+        raise ValueError("Too many groups and clusters for resampling on the driver")
+    number = {g: k for k, g in enumerate(sorted({r["g__"] for r in ends}))}
+    take = lambda rows, key, f: np.array([f[r[key]] for r in rows], dtype=np.int64)
+    of, pos, neg, won = take(cells, "g__", number), take(cells, "pos", at), take(cells, "neg", at), np.array([r["w"] for r in cells])
+    eof, ec, ep, en = take(ends, "g__", number), take(ends, cluster, at), np.array([float(r["p"]) for r in ends]), np.array([float(r["n"]) for r in ends])
+
+    def mean(w: np.ndarray) -> float:
+        top = np.bincount(of, won * w[pos] * w[neg], len(number))
+        bottom = np.bincount(eof, ep * w[ec], len(number)) * np.bincount(eof, en * w[ec], len(number))
+        v = ratio(top, bottom)
+        return float(np.nanmean(v)) if np.isfinite(v).any() else np.nan
+
+    boot = np.array([mean(w.astype(float)) for d in drawn(len(at), replicates, seed) for w in d])
+    return _difference(df.sparkSession, mean(np.ones(len(at))), boot)

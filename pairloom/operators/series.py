@@ -5,10 +5,14 @@ Window partitions are one series each (a leg, a run, a user), ordered by time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pairloom.session import shuffle_partitions, written
 
 
 def gaps(df: DataFrame, keys: Sequence[str], at: str, limit: float) -> DataFrame:
@@ -55,15 +59,54 @@ def zero_runs(df: DataFrame, keys: Sequence[str], step: str, value: str, expecte
 
 def stitch(segments: DataFrame, rows: DataFrame, key: str, dt: float, tolerance: float = 1e-9) -> DataFrame:
     """``rows`` (``local_t``) of all segments on one time axis ``t``, cut at a segment's ``valid_to_step``
-    (else ``end_step``), without rows that repeat the time of the one before.
+    (else ``end_step``), without rows less than ``tolerance`` after the last row that is kept.
+
+    Of equal times the segment with the smallest key comes first. The axis is range-partitioned and sorted. After the first
+    step of at least the tolerance a partition's choice depends on nothing before it; only the few
+    rows up to there wait for what the partitions before have kept.
     """
+    spark = rows.sparkSession
     lim = (F.coalesce("valid_to_step", "end_step") - F.col("start_step")) * F.lit(dt) + 1e-6
-    x = rows.join(segments, key).filter(F.col("local_t") <= lim).withColumn("t", F.col("start_step") * F.lit(dt) + F.col("local_t"))
-    cols = [c for c in rows.columns if c != "local_t"]
-    # equal times meet in one cell of the tolerance; the earliest segment keeps the row
-    cell = F.round(F.col("t") / F.lit(max(tolerance, 1e-12) * 1000)).cast("long")
-    keep = x.groupBy(cell.alias("cell__")).agg(F.min_by(F.struct("t", *cols), F.struct("t", key)).alias("r"))
-    return keep.select("r.*")
+    x = rows.join(segments, key).filter(F.col("local_t") <= lim).withColumn("t", (F.col("start_step") * F.lit(dt) + F.col("local_t")).cast("double"))
+    cols = ["t", *[c for c in rows.columns if c != "local_t"]]
+    rest = [c for c in cols if c not in ("t", key)]
+    x = x.select(*cols).repartitionByRange(shuffle_partitions(spark), "t", key).sortWithinPartitions("t", key, *rest).withColumn("pid__", F.spark_partition_id())
+    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in x.schema.fields], T.StructField("open__", T.BooleanType(), True)])
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, last, free = None, None, False
+        for b in batches:
+            chosen, waits = [], []
+            for t in b["t"]:
+                free = free or (before is not None and t - before >= tolerance)
+                take = not free or last is None or t - last >= tolerance
+                if free and take:
+                    last = t
+                chosen.append(take)
+                waits.append(not free)
+                before = t
+            yield b.assign(open__=waits)[chosen]
+
+    kept = written(x.mapInPandas(keep, schema), "stitched")
+    ends = kept.filter("NOT open__").groupBy("pid__").agg(F.max("t").alias("t"))
+
+    def settle(d: pd.DataFrame) -> pd.DataFrame:
+        last, chosen = None, []
+        for t, mark in zip(d["t"], d["mark__"]):
+            take = mark or last is None or t - last >= tolerance
+            if take:
+                last = t
+            chosen.append(take and not mark)
+        return d[chosen].drop(columns="mark__")
+
+    # the first rows of each partition and the last time that each keeps, in order
+    heads = kept.filter("open__").withColumn("mark__", F.lit(False)).unionByName(
+        ends.select("t", "pid__", F.lit(True).alias("mark__")), allowMissingColumns=True
+    )
+    heads = heads.withColumn("one__", F.lit(1)).groupBy("one__").applyInPandas(
+        lambda d: settle(d.drop(columns="one__").sort_values(["pid__", "mark__", "t", key], kind="stable")), schema
+    )
+    return kept.filter("NOT open__").unionByName(heads).select(*cols)
 
 
 def interpolate(df: DataFrame, schedule: DataFrame, at: str, step: str, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

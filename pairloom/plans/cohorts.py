@@ -26,15 +26,34 @@ def both_class_ligands(spark, d):
 
 
 def both_class_fixpoint(spark, d):
-    return C.role_fixpoint(pairs(spark, d), ["u", "ck"])[0].select("id")
+    p = pairs(spark, d, "u", "k", "y", "e").filter("e = 1")
+    return C.role_fixpoint(p, ["u", "k"])[0].select("id")
 
 
 def cohort_counts(spark, d):
-    p = pairs(spark, d)
-    named = [("every_pair", p), ("both_class_proteins", C.both_roles(p, "u")), ("both_class_ligands", C.both_roles(p, "k")), ("both", C.role_fixpoint(p, ["u", "k"])[0])]
-    rows = [x.select("id", "u", "k", "y").withColumn("dataset", F.lit(n)) for n, x in named]
-    out = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
-    return C.dataset_counts(out, ["dataset"])
+    # the frozen rows of this table are not one per label and protein, so that rule is not checked
+    return C.dataset_counts(C.construct_datasets(pairs(spark, d, "u", "k", "y", "e"), F.col("e") == 1, checked=False), ["dataset"])
+
+
+def _early(spark, d):
+    return pairs(spark, d, "u", "k", "ck", "y", "yr").filter(F.col("yr") <= CUTOFF)
+
+
+def early_cohorts(spark, d):
+    return C.dataset_counts(C.complete_cohorts(_early(spark, d))[0], ["dataset"])
+
+
+def fixpoint_history(spark, d):
+    history = C.complete_cohorts(_early(spark, d))[1]
+    return spark.createDataFrame(list(enumerate(history)), "iteration long, rows long")
+
+
+def temporal_counts(spark, d):
+    return C.temporal_cohorts(pairs(spark, d, "u", "k", "ck", "y", "yr"), "yr", CUTOFF, ["u", "ck"])[1]
+
+
+def temporal_rows(spark, d):
+    return C.temporal_cohorts(pairs(spark, d, "u", "k", "ck", "y", "yr"), "yr", CUTOFF, ["u", "ck"])[0].select("id", "dataset", "part")
 
 
 def _part(spark, d, col):
@@ -151,7 +170,7 @@ def explicit_booleans(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        both_class_proteins, both_class_ligands, both_class_fixpoint, cohort_counts, partition_random, partition_family, partition_ligand,
+        both_class_proteins, both_class_ligands, both_class_fixpoint, cohort_counts, early_cohorts, fixpoint_history, temporal_counts, temporal_rows, partition_random, partition_family, partition_ligand,
         partition_double_held_out, partition_scaffold, partition_overlaps, leave_one_family_out, frozen_partition, time_split_cohorts,
         chronological_boundary, training_weights, family_components, novelty_flags, exact_pair_anti, blocked_pairs_semi, integrate_pairs,
         label_conflicts, unresolved_records, shared_finite_rows, ensemble_seeds, explicit_booleans,
@@ -165,8 +184,8 @@ def _both(src: str, key: str) -> str:
     return f"SELECT * FROM {src} WHERE {key} IN (SELECT {key} FROM {src} GROUP BY {key} HAVING min(y) <> max(y))"
 
 
-def _fix(a: str, b: str, rounds: int = 24) -> str:
-    steps = ["f0 AS MATERIALIZED (SELECT * FROM p)"]
+def _fix(a: str, b: str, src: str = "(SELECT * FROM p WHERE e = 1)", rounds: int = 24) -> str:
+    steps = [f"f0 AS MATERIALIZED (SELECT * FROM {src})"]
     for i in range(rounds):
         steps.append(f"g{i} AS MATERIALIZED ({_both(f'f{i}', a)})")
         steps.append(f"f{i + 1} AS MATERIALIZED ({_both(f'g{i}', b)})")
@@ -201,11 +220,23 @@ def _counts(name: str, src: str) -> str:
     return f"SELECT '{name}' AS dataset, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives, count(DISTINCT u) AS n_a, count(DISTINCT k) AS n_b FROM ({src})"
 
 
+COHORTS = (("every_pair", "x"), ("both_class_proteins", "x1"), ("both_class_ligands", "x2"), ("both_class_proteins_ligands", "f24"))
+EARLY = f"{W}, x AS (SELECT * FROM p WHERE yr <= {CUTOFF}), x1 AS ({_both('x', 'u')}), x2 AS ({_both('x', 'k')}), x3 AS ({_both('x1', 'k')}), {_fix('u', 'k', 'x3')}"
+BOUNDS = "bd AS (" + " UNION ALL ".join(_bound(n, t) for n, t in COHORTS) + "), m AS (" + " UNION ALL ".join(
+    f"SELECT x.*, bd.dataset, boundary, CASE WHEN yr <= boundary THEN 'train' ELSE 'validation' END AS part FROM {t} x JOIN bd ON bd.dataset = '{n}'" for n, t in COHORTS
+) + ")"
+
 SQL = {
     "both_class_proteins": f"{W} SELECT id, u FROM ({_both('p', 'u')})",
     "both_class_ligands": f"{W} SELECT id, k FROM ({_both('p', 'k')})",
-    "both_class_fixpoint": f"{W}, {_fix('u', 'ck')} SELECT id FROM f24",
-    "cohort_counts": f"{W}, {_fix('u', 'k')} " + " UNION ALL ".join([_counts("every_pair", "SELECT * FROM p"), _counts("both_class_proteins", _both("p", "u")), _counts("both_class_ligands", _both("p", "k")), _counts("both", "SELECT * FROM f24") + " HAVING count(*) > 0"]),
+    "both_class_fixpoint": f"{W}, {_fix('u', 'k')} SELECT id FROM f24",
+    "cohort_counts": f"{W}, {_fix('u', 'k')} " + " UNION ALL ".join([_counts("every_pair", "SELECT * FROM p"), _counts("both_class_proteins", "SELECT * FROM p WHERE e = 1"), _counts("both_class_ligands", _both("p", "k")), _counts("both_class_proteins_ligands", "SELECT * FROM f24") + " HAVING count(*) > 0"]),
+    "early_cohorts": f"{EARLY} SELECT * FROM (" + " UNION ALL ".join(_counts(n, f"SELECT * FROM {t}") for n, t in COHORTS) + ") WHERE rows > 0",
+    # the round that changes nothing is counted, as its rows say that the last one was the last
+    "fixpoint_history": f"{EARLY}, n AS (" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS iteration, count(*) AS rows FROM f{i}" for i in range(25))
+    + ") SELECT iteration, rows FROM (SELECT *, lag(rows, 2) OVER (ORDER BY iteration) AS p2, lag(rows) OVER (ORDER BY iteration) AS p1 FROM n) WHERE p2 IS NULL OR p2 <> p1",
+    "temporal_counts": f"{EARLY}, {BOUNDS}, q AS (SELECT * FROM m UNION ALL BY NAME SELECT * REPLACE ('refit' AS part) FROM m) SELECT dataset, part, boundary, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives, count(DISTINCT u) AS n_a, count(DISTINCT k) AS n_b FROM q GROUP BY ALL",
+    "temporal_rows": f"{EARLY}, {BOUNDS} SELECT id, dataset, part FROM m UNION ALL SELECT id, 'later', CASE WHEN yr IS NULL THEN 'unknown' WHEN EXISTS (SELECT 1 FROM p q WHERE q.yr <= {CUTOFF} AND q.u = p.u AND q.ck = p.ck) THEN 'removed' ELSE 'test' END FROM p WHERE yr IS NULL OR yr > {CUTOFF}",
     "partition_random": f"{W}, {_fold('rf')} SELECT id, part FROM q",
     "partition_family": f"{W}, {_fold('ff')} SELECT id, part FROM q",
     "partition_ligand": f"{W}, {_fold('lf')} SELECT id, part FROM q",

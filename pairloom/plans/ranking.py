@@ -10,65 +10,65 @@ from pairloom.plans.base import SCORED, rounded, scored
 
 
 def average_rank(spark, d):
-    return rounded(ranks.ranked(scored(spark, d), ["u"], F.col("s")).select("id", "u", "rank"), "rank")
+    return rounded(ranks.ranked(scored(spark, d, "u", "s"), ["u"], F.col("s")).select("id", "u", "rank"), "rank")
 
 
 def global_rank_fraction(spark, d):
-    return rounded(ranks.rank_fraction(scored(spark, d), [], F.col("s")).select("id", "rank", "fraction"), "fraction", "rank")
+    return rounded(ranks.rank_fraction(scored(spark, d, "s"), [], F.col("s")).select("id", "rank", "fraction"), "fraction", "rank")
 
 
 def rank_fraction(spark, d):
-    return rounded(ranks.rank_fraction(scored(spark, d), ["u"], F.col("s")).select("id", "fraction"), "fraction")
+    return rounded(ranks.rank_fraction(scored(spark, d, "u", "s"), ["u"], F.col("s")).select("id", "fraction"), "fraction")
 
 
 def percentile_rank(spark, d):
-    return rounded(ranks.percentile_rank(scored(spark, d), ["u"], F.col("s")).select("id", "pct"), "pct")
+    return rounded(ranks.percentile_rank(scored(spark, d, "u", "s"), ["u"], F.col("s")).select("id", "pct"), "pct")
 
 
 def topk_deterministic(spark, d):
-    return ranks.top_fraction(scored(spark, d), ["u"], F.col("s"), F.col("id"), 0.01).select("id", "u", "place")
+    return ranks.top_fraction(scored(spark, d, "u", "s"), ["u"], F.col("s"), F.col("id"), 0.01).select("id", "u", "place")
 
 
 def topk_pooled(spark, d):
-    return ranks.top_fraction(scored(spark, d), [], F.col("s"), F.col("id"), 0.001).select("id", "place")
+    return ranks.top_fraction(scored(spark, d, "s"), [], F.col("s"), F.col("id"), 0.001).select("id", "place")
 
 
 def topk_fractional(spark, d):
-    return rounded(ranks.fractional_top(scored(spark, d), ["u"], F.col("s"), 0.05).filter("weight > 0").select("id", "weight"), "weight")
+    return rounded(ranks.fractional_top(scored(spark, d, "u", "s"), ["u"], F.col("s"), 0.05).filter("weight > 0").select("id", "weight"), "weight")
 
 
 def best_per_key(spark, d):
-    return ranks.best_per_key(scored(spark, d).filter("ck IS NOT NULL").select("u", "ck", "s", "id"), ["u", "ck"], F.col("s"), "id").select("u", "ck", "id", "s")
+    return ranks.best_per_key(scored(spark, d, "u", "ck", "s").filter("ck IS NOT NULL").select("u", "ck", "s", "id"), ["u", "ck"], F.col("s"), "id").select("u", "ck", "id", "s")
 
 
 def pooled_binary_metrics(spark, d):
-    m = metrics.binary_metrics(scored(spark, d), ["cohort", "model"], F.col("y"), F.col("s"))
+    m = metrics.binary_metrics(scored(spark, d, "cohort", "model", "y", "s"), ["cohort", "model"], F.col("y"), F.col("s"))
     return rounded(m, "auroc", "ap_pos", "ap_neg", "ap_symmetric")
 
 
 def conditional_auroc(spark, d):
-    return rounded(metrics.conditional_auroc(scored(spark, d), ["model"], ["u"], F.col("y"), F.col("s")), "auroc", "row_coverage")
+    return rounded(metrics.conditional_auroc(scored(spark, d, "model", "u", "y", "s"), ["model"], ["u"], F.col("y"), F.col("s")), "auroc", "row_coverage")
 
 
 def checkpoint_selection(spark, d):
-    return rounded(metrics.checkpoint_selection(scored(spark, d), ["cohort", "model"], ["u", "ck"], F.col("y"), F.col("s")), "value")
+    return rounded(metrics.checkpoint_selection(scored(spark, d, "cohort", "model", "u", "ck", "y", "s"), ["cohort", "model"], ["u", "ck"], F.col("y"), F.col("s")), "value")
 
 
 def spearman_by_group(spark, d):
-    return rounded(metrics.spearman(scored(spark, d), ["u"], "s", "logp"), "rho", digits=8)
+    return rounded(metrics.spearman(scored(spark, d, "u", "s", "logp"), ["u"], "s", "logp"), "rho", digits=8)
 
 
 def top_choice_agreement(spark, d):
-    x = scored(spark, d).filter("logp IS NOT NULL")
+    x = scored(spark, d, "u", "s", "logp").filter("logp IS NOT NULL")
     return rounded(metrics.top_choice_agreement(x, ["u"], "s", "logp").filter("n >= 2"), "agreement")
 
 
 def keyword_enrichment(spark, d):
-    return rounded(enrich.keyword_enrichment(scored(spark, d), "u", "s", "id", "y", 0.01), "enrichment")
+    return rounded(enrich.keyword_enrichment(scored(spark, d, "u", "s", "y"), "u", "s", "id", "y", 0.01), "enrichment")
 
 
 def ranking_recovery(spark, d):
-    return rounded(enrich.recovery(scored(spark, d), ["cohort", "model"], "u", "s", ["y", "o"], [0.01, 0.05]), "selected", "hits", "expected", "recall", "enrichment", digits=6)
+    return rounded(enrich.recovery(scored(spark, d, "cohort", "model", "u", "s", "y", "o"), ["cohort", "model"], "u", "s", ["y", "o"], [0.01, 0.05]), "selected", "hits", "expected", "recall", "enrichment", digits=6)
 
 
 QUERIES = {

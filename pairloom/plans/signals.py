@@ -13,7 +13,8 @@ from pairloom.operators.keys import clean_key
 from pairloom.plans.base import PAIRS, SCORED, pairs, rounded, scored
 from pairloom.session import table
 
-DRAWS = 200
+DRAWS = 10_000
+MATCH = ("u", "ck", "lig", "s", "mw", "logp", "tpsa", "y", "o")
 
 
 # --- resampling -------------------------------------------------------------------------------
@@ -57,17 +58,17 @@ def wilcoxon_signed_rank(spark, d):
 
 
 def bootstrap_ratio(spark, d):
-    p = pairs(spark, d).withColumn("one", F.lit(1))
+    p = pairs(spark, d, "fam", "y").withColumn("one", F.lit(1))
     return rounded(R.bootstrap_ratio(p, "fam", "y", "one", DRAWS), "estimate", "ci_low", "ci_high")
 
 
 def cluster_pair_matrix(spark, d):
-    x = scored(spark, d).withColumn("c", F.pmod(F.length("u") + F.ascii("u"), F.lit(7)).cast("int"))
+    x = scored(spark, d, "u", "y", "s").withColumn("c", F.pmod(F.length("u") + F.ascii("u"), F.lit(7)).cast("int"))
     return R.cluster_pair_matrix(x, "c", "y", "s")
 
 
 def paired_bootstrap(spark, d):
-    x = scored(spark, d).withColumn("c", F.pmod(F.length("u") + F.ascii("u"), F.lit(7)).cast("int")).filter("logp IS NOT NULL")
+    x = scored(spark, d, "u", "y", "s", "logp").withColumn("c", F.pmod(F.length("u") + F.ascii("u"), F.lit(7)).cast("int")).filter("logp IS NOT NULL")
     return rounded(R.bootstrap_auroc_difference(x, "c", "y", "s", "logp", DRAWS), "delta", "ci_low", "ci_high")
 
 
@@ -274,11 +275,11 @@ def _prepared(spark, d):
 
 
 def matched_selection(spark, d):
-    return rounded(match.matched_selection(scored(spark, d), _prepared(spark, d), 500, 5), "distance")
+    return rounded(match.matched_selection(scored(spark, d, *MATCH), _prepared(spark, d), 500, 5), "distance")
 
 
 def match_population(spark, d):
-    return rounded(match.eligible(scored(spark, d)).select("u", "ck", "id", "pct"), "pct")
+    return rounded(match.eligible(scored(spark, d, *MATCH)).select("u", "ck", "id", "pct"), "pct")
 
 
 QUERIES = {
@@ -313,6 +314,11 @@ SQL = {
     "sign_flip_exact": f"""WITH {ROLES}, s AS (SELECT nation % 5 AS k, sum(candidate - comparison) AS s, count(*) AS n FROM u GROUP BY 1), o AS (SELECT s, row_number() OVER (ORDER BY k) - 1 AS i FROM s),
 t AS (SELECT sum(n) AS n, count(*) AS c, sum(s) / sum(n) AS d FROM s), f AS (SELECT v, sum(CASE WHEN (v >> i) & 1 = 1 THEN s ELSE -s END) / (SELECT n FROM t) AS z FROM o, LATERAL range(0, CAST(1 << (SELECT c FROM t) AS BIGINT)) r(v) GROUP BY v)
 SELECT CAST(n AS BIGINT) AS n, c AS clusters, round(d, 9) AS delta, round((SELECT avg(CAST(abs(z) >= abs(d) - 1e-12 AS INT)) FROM f), 9) AS p, 'exact' AS method FROM t""",
+    "wilcoxon_signed_rank": """WITH x AS (SELECT l_returnflag AS g, round(l_discount * 100) - round(l_tax * 100) AS v FROM lineitem), y AS (SELECT g, v, abs(v) AS a FROM x WHERE v <> 0),
+r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY a) + (count(*) OVER (PARTITION BY g, a) - 1) / 2.0 AS k FROM y), t AS (SELECT g, sum(c * c * c - c) AS ties FROM (SELECT g, a, CAST(count(*) AS DOUBLE) AS c FROM y GROUP BY g, a) GROUP BY g),
+w AS (SELECT g, count(*) AS n, sum(k) FILTER (WHERE v > 0) AS w_plus FROM r GROUP BY g), z AS (SELECT g, n, w_plus, abs(w_plus - n * (n + 1) / 4.0) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2) AS x FROM w JOIN t USING (g)),
+q AS (SELECT *, 1 / (1 + x / 2) AS t FROM z)
+SELECT g AS l_returnflag, n, w_plus, round(t * exp(-x * x - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))), 9) AS p FROM q""",
     "holm_adjust": """WITH p AS (SELECT s_nationkey, s_suppkey, abs(s_acctbal) / 20000 AS p FROM supplier), r AS (SELECT *, p * (count(*) OVER (PARTITION BY s_nationkey) - row_number() OVER w + 1) AS s FROM p WINDOW w AS (PARTITION BY s_nationkey ORDER BY p, s_suppkey))
 SELECT s_nationkey, s_suppkey, round(p, 9) AS p, round(least(1, max(s) OVER (PARTITION BY s_nationkey ORDER BY p, s_suppkey ROWS UNBOUNDED PRECEDING)), 9) AS holm_p FROM r""",
     "cluster_pair_matrix": f"""WITH {SCORED}, x AS (SELECT (length(u) + ascii(u)) % 7 AS c, s, CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS n FROM r GROUP BY 1, 2),

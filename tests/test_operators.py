@@ -1,3 +1,4 @@
+import itertools
 import math
 from fractions import Fraction
 
@@ -74,7 +75,7 @@ def test_bootstrap_matrix_equals_weighted_auroc(spark):
     m = np.zeros((6, 6))
     for r in resample.cluster_pair_matrix(df, "c", "y", "s").collect():
         m[r["pos"], r["neg"]] = r["wins"]
-    w = resample.multinomial_draws(6, 5, 1).astype(float)
+    w = np.concatenate(list(resample.drawn(6, 5, 1))).astype(float)
     for d in w:
         u = d[c]
         pos, neg = y == 1, y == 0
@@ -252,3 +253,95 @@ def test_enrichment_without_positives(spark):
     df = spark.createDataFrame([("a", 1.0, "1", 0), ("a", 2.0, "2", 0)], "u string, s double, id string, y int")
     r = enrich.keyword_enrichment(df, "u", "s", "id", "y", 0.5).filter("scope = 'pooled'").first()
     assert (r["eligible_rows"], r["positives"], r["enrichment"]) == (2, 0, None)
+
+
+def test_stitch_drops_what_follows_the_last_kept_row(spark):
+    seg = spark.createDataFrame([("a", 0, 1000, None), ("b", 0, 1000, None)], "seg string, start_step long, end_step long, valid_to_step long")
+    t = [0.0, 4e-10, 9e-10, 1.3e-9, 0.5, 0.5 + 2e-10, 0.5 + 3e-9, 1.0]
+    rows = spark.createDataFrame([("a" if k % 2 else "b", x, k) for k, x in enumerate(t)], "seg string, local_t double, v int")
+    got = sorted(r["v"] for r in series.stitch(seg, rows, "seg", 1.0).collect())
+    assert got == [0, 3, 4, 6, 7]
+    assert series.stitch(seg, rows.limit(0), "seg", 1.0).count() == 0
+
+
+def test_nearest_widens_its_search(spark):
+    a = spark.createDataFrame([("m", 1, 0.0, 0.0, 0.0), ("m", 2, 100.0, 0.0, 0.0), ("n", 3, 0.0, 0.0, 0.0), (None, 4, 0.0, 0.0, 0.0)], "k string, i int, x double, y double, z double")
+    b = spark.createDataFrame([("m", 1.0, 0.0, 0.0), ("m", 60.0, 30.0, 0.0), ("m", float("nan"), 0.0, 0.0)], "k string, x double, y double, z double")
+    got = {r["i"]: r["min_distance"] for r in geometry.nearest(a, b, ["k"], ["i"]).collect()}
+    assert got == {1: 1.0, 2: pytest.approx(50.0)}
+
+
+def test_block_statistics():
+    rng = np.random.default_rng(20261012)
+    s, n = np.array([1.0, -2.0, 3.0, 0.5]), np.array([2.0, 2.0, 3.0, 1.0])
+    picks = rng.integers(0, 4, (500, 4))
+    boot = s[picks].sum(1) / n[picks].sum(1)
+    got = resample.block_statistics(s, n, 500)
+    assert got["ci_low"] == pytest.approx(np.quantile(boot, 0.025)) and got["ci_high"] == pytest.approx(np.quantile(boot, 0.975))
+    every = [abs(sum(a * b for a, b in zip(s, f))) >= abs(s.sum()) - 1e-12 for f in itertools.product([-1, 1], repeat=4)]
+    assert got["p"] == np.mean(every) and got["method"] == "exact"
+    s, n = np.arange(14) - 5.0, np.ones(14)
+    rng = np.random.default_rng(20261012)
+    rng.integers(0, 14, (300, 14))
+    null = rng.choice([-1, 1], size=(10_000, 14)) @ s / 14
+    assert resample.block_statistics(s, n, 300)["p"] == pytest.approx((1 + (abs(null) >= abs(s.mean()) - 1e-12).sum()) / 10_001)
+
+
+def test_draws_do_not_depend_on_blocks(monkeypatch):
+    one = np.concatenate(list(resample.drawn(5, 50, 3)))
+    monkeypatch.setattr(resample, "BLOCK_CELLS", 35)
+    assert (one == np.concatenate(list(resample.drawn(5, 50, 3)))).all()
+    s, n = np.arange(14) - 5.0, np.ones(14)
+    small = resample.block_statistics(s, n, 300)
+    monkeypatch.setattr(resample, "BLOCK_CELLS", 1 << 22)
+    assert small == resample.block_statistics(s, n, 300)
+
+
+def test_bootstrap_within(spark):
+    r = np.random.default_rng(5)
+    rows = [(f"c{k % 4}", f"p{k % 8}", f"l{k % 10}", int(r.integers(0, 2)), float(r.integers(0, 6)), float(r.integers(0, 6))) for k in range(160)]
+    df = spark.createDataFrame(rows, "c string, p string, l string, y int, a double, b double")
+    names = sorted({x[0] for x in rows})
+
+    def auc(part, col, w):
+        pos, neg = [x for x in part if x[3] == 1], [x for x in part if x[3] == 0]
+        top = sum(w[x[0]] * w[z[0]] * ((x[col] > z[col]) + 0.5 * (x[col] == z[col])) for x in pos for z in neg)
+        bottom = sum(w[x[0]] for x in pos) * sum(w[z[0]] for z in neg)
+        return top / bottom if bottom else None
+
+    for key, col in (("p", 1), ("l", 2)):
+        groups = [[x for x in rows if x[col] == v] for v in sorted({x[col] for x in rows})]
+        groups = [g for g in groups if len({x[3] for x in g}) == 2]
+        boot = []
+        for draw in np.concatenate([np.ones((1, 4)), *resample.drawn(4, 40, 20260902)]):
+            w = dict(zip(names, draw))
+            means = [[v for g in groups if (v := auc(g, k, w)) is not None] for k in (4, 5)]
+            if key == "p":  # groups in one cluster count by its draws
+                ws = np.array([w[g[0][0]] for g in groups])
+                fixed = [np.array([auc(g, k, dict.fromkeys(names, 1.0)) for g in groups]) for k in (4, 5)]
+                boot.append((ws @ (fixed[0] - fixed[1])) / ws.sum() if ws.sum() else np.nan)
+            else:
+                boot.append(np.mean(means[0]) - np.mean(means[1]))
+        got = resample.bootstrap_within(df, "c", [key], "y", "a", "b", 40).first()
+        assert got["delta"] == pytest.approx(boot[0]) and got["ci_low"] == pytest.approx(np.nanquantile(boot[1:], 0.025)) and got["ci_high"] == pytest.approx(np.nanquantile(boot[1:], 0.975))
+
+
+def test_exact_signed_ranks_are_used(spark):
+    v = [1.5, -2.0, 3.0, 4.0, 5.5, 7.0]
+    df = spark.createDataFrame([("a", x) for x in v] + [("b", float(k % 9 - 3)) for k in range(90)] + [("c", 0.0)], "g string, v double")
+    got = {r["g"]: r["p"] for r in resample.wilcoxon(df, ["g"], "v").collect()}
+    assert got["a"] == pytest.approx(resample.wilcoxon_exact(v)) == pytest.approx(0.09375) and set(got) == {"a", "b"}
+
+
+def test_weights_leave_out_rows_without_entity(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 0), ("b", 1), (None, 1), ("a", 1)], "u string, y int")
+    got = cohorts.training_weights(df, "u", "y").collect()
+    assert len(got) == 4 and sum(r["weight"] for r in got) == pytest.approx(4.0)
+
+
+def test_construct_datasets_checks_frozen_rows(spark):
+    df = spark.createDataFrame([("a", "k", 0, 1), ("a", "k", 1, 1), ("b", "m", 1, 1)], "u string, k string, y int, e int")
+    with pytest.raises(ValueError):
+        cohorts.construct_datasets(df, F.col("e") == 1)
+    got = cohorts.construct_datasets(df.filter("u = 'a'"), F.col("e") == 1).groupBy("dataset").count().collect()
+    assert {r["dataset"]: r["count"] for r in got} == dict.fromkeys(["every_pair", "both_class_proteins", "both_class_ligands", "both_class_proteins_ligands"], 2)
