@@ -75,5 +75,5 @@ def related_groups(df: DataFrame, row_id: Column, links: Sequence[Column]) -> Da
     linked = edges.join(low, "b").filter("a <> m").select("a", F.col("m").alias("b")).distinct()
     labels = components(linked)
     return records.select("row_id", F.expr("get(n, 0)").alias("node")).join(labels, "node", "left").select(
-        "row_id", F.coalesce("label", F.concat(F.lit("~:"), F.col("row_id").cast("string"))).alias("group_label")
+        "row_id", F.coalesce("label", "node", F.concat(F.lit("~:"), F.col("row_id").cast("string"))).alias("group_label")
     )
