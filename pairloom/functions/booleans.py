@@ -18,6 +18,7 @@ def strict_bool(c: Column) -> Column:
 
 def stars(p: Column) -> Column:
     """Significance bucket of a p-value."""
+    # fixed values: the usual thresholds
     return F.when(p < 1e-3, "***").when(p < 1e-2, "**").when(p < 0.05, "*").otherwise("ns")
 
 

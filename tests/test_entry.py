@@ -11,7 +11,8 @@ import __spark_entry__
 DATA = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]
 NAMES = ["p5_found", "p5_profiles", "average_rank", "conditional_auroc", "topk_fractional", "keyword_enrichment", "both_class_fixpoint", "partition_scaffold", "time_split_cohorts", "family_components",
-         "integrate_pairs", "contact_consensus", "qnb_bins", "radius_contacts", "attention_metrics", "zero_runs", "stitch_segments", "holm_adjust"]
+         "integrate_pairs", "contact_consensus", "qnb_bins", "radius_contacts", "attention_metrics", "zero_runs", "stitch_segments", "holm_adjust",
+         "temporal_counts", "input_availability", "scaffolds_added", "endpoint_targets", "imaged_contacts", "residue_changes", "tsv_round_trip", "cohort_files", "path_safety"]
 
 
 def norm(v):
