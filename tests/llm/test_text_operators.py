@@ -143,6 +143,33 @@ def test_leaks_of_common_words(spark):
     assert leakage.stretches(one[2:16], one, set(words))[1:3] == (14, 14)
 
 
+def test_passed_over_words_count_once():
+    words = "which of the following sites binds the given ligand most tightly when both chains of this protein are open and".split()
+    common = set(words)
+    for n in (10, 13, 14):
+        score, matched, row, _ = leakage.stretches(words[:n], words, common)
+        assert (matched, row) == (n, n) and score == pytest.approx(leakage.COMMON * n)
+        assert bool(leakage.found_in(words[:n], [(1, words, None)], common)) == (n >= 14)
+
+
+def test_the_filter_lets_all_searched_terms_pass(spark):
+    terms = [f"word{k}" for k in range(3000)]
+    h = spark.createDataFrame([(leakage._signed(leakage.word_hash(t)),) for t in terms], "h long")
+    bits = leakage.term_filter(h)
+    assert len(bits) == leakage.FILTER_BITS // 8 and all(leakage.passes(bits, leakage.word_hash(t)) for t in terms)
+    assert sum(leakage.passes(bits, leakage.word_hash(f"other{k}")) for k in range(3000)) < 10
+    assert spark.createDataFrame([("größe",)], "t string").select(F.xxhash64("t")).first()[0] == leakage._signed(leakage.word_hash("größe"))
+
+
+def test_hot_terms_are_salted(spark):
+    one = ITEMS[0][1]
+    docs = [(k, FILL + one) if k % 2 else (k, f"reductase Vexlam note {k}") for k in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = leakage.leaks(df, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, 1) for k in range(1, 3000, 2)} and len(got) == 1500
+
+
 def test_postings_are_complete(spark):
     df = spark.createDataFrame([(1, "A b a"), (2, None)], "doc_id long, text string")
     assert {r["term"]: list(r["positions"]) for r in leakage.postings(df, F.col("doc_id"), F.col("text")).collect()} == {"a": [0, 2], "b": [1]}
