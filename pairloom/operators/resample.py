@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ EXACT_CLUSTERS = 12
 EXACT_RANKS = 50  # values up to which signed ranks without ties get their exact distribution
 MAX_CELLS = 4_000_000  # cluster pairs that the driver may hold
 BLOCK_CELLS = 1 << 22  # replicates x clusters that are drawn at once
+GROUP_CELLS = 1 << 20  # replicates x cells of groups that a task weighs at once
 
 
 def cluster_sums(df: DataFrame, cluster: str, columns: Sequence[str], limit: int = MAX_CLUSTERS) -> tuple[list, np.ndarray]:
@@ -302,9 +305,10 @@ def bootstrap_within(df: DataFrame, cluster: str, identity: Sequence[str], label
     Where each group lies in one cluster, its AUROC is fixed and a replicate weighs it by its
     cluster's draws: sums per cluster are all that is needed. Where groups span clusters, a replicate
     weighs the rows, and a group's AUROC follows from its wins between each two clusters; these are
-    counted in Spark, and their number is checked.
+    counted and weighed in tasks.
     """
     from pairloom.operators.metrics import binary_metrics
+    from pairloom.session import written
 
     rows = df.select(F.col(cluster).alias("c__"), *[F.col(c).alias(f"i{k}__") for k, c in enumerate(identity)], F.col(label).alias("y__"), F.col(a).alias("a__"), F.col(b).alias("b__")).dropna()
     cluster, identity, a, b = "c__", [f"i{k}__" for k in range(len(identity))], "a__", "b__"
@@ -325,29 +329,75 @@ def bootstrap_within(df: DataFrame, cluster: str, identity: Sequence[str], label
         w = np.concatenate([d @ sums for d in drawn(len(at), replicates, seed)])
         t = sums.sum(axis=0)
         return _difference(df.sparkSession, float(t[0] / t[1]), ratio(w[:, 0], w[:, 1]))
-    keyed = rows.join(two.select(*identity), list(identity)).withColumn("g__", F.xxhash64(*identity))
-    sides = keyed.groupBy("g__", cluster).agg(F.sum("y__").alias("p"), F.sum(1 - F.col("y__")).alias("n"))
-    pairs = []
-    for score in (a, b):
-        pos = keyed.filter("y__ = 1").groupBy("g__", F.col(cluster).alias("pos"), F.col(score).alias("s")).agg(F.count("*").alias("m"))
-        neg = keyed.filter("y__ = 0").groupBy("g__", F.col(cluster).alias("neg")).agg(F.sort_array(F.collect_list(score)).alias("t"))
+    groups = written(_group_cells(rows, two, identity, cluster, a, b, at), "groups")
+    ones = np.ones((1, len(at)), dtype=np.int64)
+    point = _mean_of_groups(groups, ones)[0]
+    boot = [_mean_of_groups(groups, d) for d in drawn(len(at), replicates, seed)]
+    return _difference(df.sparkSession, float(point), np.concatenate(boot))
+
+
+def _group_cells(rows: DataFrame, two: DataFrame, identity: Sequence[str], cluster: str, a: str, b: str, at: dict) -> DataFrame:
+    """One row per two-class group: ``cells``, the wins of ``a`` minus those of ``b`` of the positives of a cluster against
+    the negatives of another, and ``sides``, the positives and negatives of each cluster. Clusters are numbered by ``at``."""
+    spark = rows.sparkSession
+    numbered = spark.createDataFrame(list(at.items()), f"{cluster} {rows.schema[cluster].dataType.simpleString()}, at__ int")
+    keyed = rows.join(two.select(*identity), list(identity)).join(F.broadcast(numbered), cluster).drop(cluster)
+    sides = keyed.groupBy(*identity, "at__").agg(F.sum("y__").cast("double").alias("p"), F.sum(1 - F.col("y__")).cast("double").alias("n"))
+    parts = []
+    for score, sign in ((a, 1), (b, -1)):
+        pos = keyed.filter("y__ = 1").groupBy(*identity, F.col("at__").alias("pos"), F.col(score).alias("s")).agg(F.count("*").alias("m"))
+        neg = keyed.filter("y__ = 0").groupBy(*identity, F.col("at__").alias("neg")).agg(F.sort_array(F.collect_list(score)).alias("t"))
         # the negatives of one cluster in one group are few; each distinct score is compared with their sorted array
         won = F.size(F.filter("t", lambda x: x < F.col("s"))) + 0.5 * F.size(F.filter("t", lambda x: x == F.col("s")))
-        pairs.append(pos.join(neg, "g__").groupBy("g__", "pos", "neg").agg(F.sum(F.col("m") * won).alias("w")))
-    m = pairs[0].withColumn("w", F.col("w")).unionByName(pairs[1].withColumn("w", -F.col("w"))).groupBy("g__", "pos", "neg").agg(F.sum("w").alias("w"))
-    cells, ends = m.limit(MAX_CELLS + 1).collect(), sides.limit(MAX_CELLS + 1).collect()
-    if max(len(cells), len(ends)) > MAX_CELLS:
-        raise ValueError("Too many groups and clusters for resampling on the driver")
-    number = {g: k for k, g in enumerate(sorted({r["g__"] for r in ends}))}
-    take = lambda rows, key, f: np.array([f[r[key]] for r in rows], dtype=np.int64)
-    of, pos, neg, won = take(cells, "g__", number), take(cells, "pos", at), take(cells, "neg", at), np.array([r["w"] for r in cells])
-    eof, ec, ep, en = take(ends, "g__", number), take(ends, cluster, at), np.array([float(r["p"]) for r in ends]), np.array([float(r["n"]) for r in ends])
-
-    def mean(w: np.ndarray) -> float:
-        top = np.bincount(of, won * w[pos] * w[neg], len(number))
-        bottom = np.bincount(eof, ep * w[ec], len(number)) * np.bincount(eof, en * w[ec], len(number))
-        v = ratio(top, bottom)
-        return float(np.nanmean(v)) if np.isfinite(v).any() else np.nan
-
-    boot = np.array([mean(w.astype(float)) for d in drawn(len(at), replicates, seed) for w in d])
-    return _difference(df.sparkSession, mean(np.ones(len(at))), boot)
+        parts.append(pos.join(neg, list(identity)).select(*identity, "pos", "neg", (sign * F.col("m") * won).alias("w")))
+    cells = parts[0].unionByName(parts[1]).groupBy(*identity, "pos", "neg").agg(F.sum("w").alias("w"))
+    cell, side = F.struct("pos", "neg", "w"), F.struct("at__", "p", "n")
+    both = cells.select(*identity, cell.alias("cell"), F.lit(None).cast(sides.select(side.alias("x")).schema["x"].dataType).alias("side"))
+    both = both.unionByName(sides.select(*identity, F.lit(None).cast(cells.select(cell.alias("x")).schema["x"].dataType).alias("cell"), side.alias("side")))
+    return both.groupBy(*identity).agg(F.collect_list("cell").alias("cells"), F.collect_list("side").alias("sides")).select("cells", "sides")
+
+
+def _mean_of_groups(groups: DataFrame, draws: np.ndarray) -> np.ndarray:
+    """The mean over groups of the weighted difference of AUROCs for each row of ``draws`` (replicates x clusters).
+
+    Tasks add up their groups; sums and counts per replicate are all that comes to the driver.
+    """
+    sent = groups.sparkSession.sparkContext.broadcast(draws.astype(np.int32))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.ascontiguousarray(sent.value.T).astype(float)
+        total, valid = np.zeros(w.shape[1]), np.zeros(w.shape[1])
+        step = max(1, GROUP_CELLS // w.shape[1])  # cells whose weights are held at once
+        field = lambda x, name: x.field(name).to_numpy(zero_copy_only=False)
+        sums = lambda k, x, rows: np.add.reduceat(x, np.searchsorted(k, np.arange(rows)), axis=0)
+        for whole in batches:
+            ends = np.cumsum(pc.list_value_length(whole["cells"]).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < whole.num_rows:
+                done = ends[first - 1] if first else 0
+                b = whole.slice(first, max(1, int(np.searchsorted(ends, done + step, "right")) - first))
+                first += b.num_rows
+                g, e = (pc.list_parent_indices(b[c]).to_numpy(zero_copy_only=False) for c in ("cells", "sides"))
+                x, y = b["cells"].flatten(), b["sides"].flatten()
+                top = np.zeros((b.num_rows, w.shape[1]))
+                for i in range(0, len(g), step):  # a group of very many cells takes several turns
+                    k = g[i : i + step]
+                    part = field(x, "w")[i : i + step, None] * w[field(x, "pos")[i : i + step]] * w[field(x, "neg")[i : i + step]]
+                    top[k[0] : k[-1] + 1] += sums(k - k[0], part, k[-1] - k[0] + 1)
+                p, n = np.zeros_like(top), np.zeros_like(top)
+                for i in range(0, len(e), step):
+                    k, c = e[i : i + step], w[field(y, "at__")[i : i + step]]
+                    p[k[0] : k[-1] + 1] += sums(k - k[0], field(y, "p")[i : i + step, None] * c, k[-1] - k[0] + 1)
+                    n[k[0] : k[-1] + 1] += sums(k - k[0], field(y, "n")[i : i + step, None] * c, k[-1] - k[0] + 1)
+                v = ratio(top, p * n)
+                ok = np.isfinite(v)
+                total += np.where(ok, v, 0.0).sum(axis=0)
+                valid += ok.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(valid)], names=["r", "v", "n"])
+
+    out = np.full(len(draws), np.nan)
+    for r in groups.mapInArrow(add, "r long, v double, n double").groupBy("r").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect():
+        if r["n"]:
+            out[r["r"]] = r["v"] / r["n"]
+    sent.destroy()
+    return out

@@ -326,6 +326,18 @@ def test_bootstrap_within(spark):
         assert got["delta"] == pytest.approx(boot[0]) and got["ci_low"] == pytest.approx(np.nanquantile(boot[1:], 0.025)) and got["ci_high"] == pytest.approx(np.nanquantile(boot[1:], 0.975))
 
 
+def test_bootstrap_within_takes_any_number_of_groups(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(f"c{k % 5}", f"l{k % 33}", int(r.integers(0, 2)), float(r.integers(0, 6)), float(r.integers(0, 6))) for k in range(300)]
+    df = spark.createDataFrame(rows, "c string, l string, y int, a double, b double")
+    want = resample.bootstrap_within(df, "c", ["l"], "y", "a", "b", 30).first()
+    monkeypatch.setattr(resample, "MAX_CELLS", 20)
+    monkeypatch.setattr(resample, "BLOCK_CELLS", 50)
+    monkeypatch.setattr(resample, "GROUP_CELLS", 70, raising=False)
+    got = resample.bootstrap_within(df, "c", ["l"], "y", "a", "b", 30).first()
+    assert list(got) == pytest.approx(list(want))
+
+
 def test_exact_signed_ranks_are_used(spark):
     v = [1.5, -2.0, 3.0, 4.0, 5.5, 7.0]
     df = spark.createDataFrame([("a", x) for x in v] + [("b", float(k % 9 - 3)) for k in range(90)] + [("c", 0.0)], "g string, v double")
