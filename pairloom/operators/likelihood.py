@@ -25,6 +25,9 @@ CONTINUOUS = ("D", "MW", "LP")
 # fixed values: caps of the log ratios
 CAPS = {"KDE_LEGACY": {"D": math.log(100), "MW": math.log(10), "LP": math.log(10), "AR": math.log(10)}, "KDE100": dict.fromkeys(CODES, math.log(100))}
 BLOCK = 4096
+REACH = 12.0  # widths beyond which a kernel is left out, being below 1e-31 of its peak
+TERMS = 32  # moments of a cell
+SLICE = 256  # queries, and cells, that are set against each other at once
 
 
 def methods() -> list[tuple[str, tuple[str, ...]]]:
@@ -86,7 +89,14 @@ def smoothed(counts: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def _bin(edges: Column, x: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: e <= x))
+    """The number of ascending ``edges`` up to ``x``, by halving."""
+    taken = lambda at, k: (at + k <= F.size(edges)) & (F.get(edges, at + k - 1) <= x)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), lambda at, k: F.when(taken(at, k), at + k).otherwise(at))
+
+
+def _half_even(c: Column) -> Column:
+    """A sum of log ratios at 12 digits; its multiple is exact in doubles, which need no decimals."""
+    return F.rint(c * F.lit(1e12)) / F.lit(1e12)
 
 
 def fit_qnb(long: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,47 +133,107 @@ def qnb_components(queries: DataFrame, grid: DataFrame, llr: DataFrame) -> DataF
 def kde_components(long: DataFrame, queries: DataFrame) -> DataFrame:
     """``fit``, ``code``, ``x``, ``llr`` of distinct continuous queries by Gaussian kernels with Scott's width.
 
-    Queries are clipped to the training range. Distinct training values and queries are cut into blocks of BLOCK
-    values, and each block of queries meets each block of its own fit: the work is what the estimate
-    demands, in tasks of even size, with nothing but partial sums passed on.
+    Queries are clipped to the training range. The kernels of all training values are summed through the moments of
+    :func:`kernel_cells`: the work is in proportion to values and queries, not to their product, and the sums
+    are those of the kernels one by one but for rounding.
     """
     train = long.filter(F.col("code").isin(*CONTINUOUS))
     stats = train.groupBy("fit", "code", "y").agg(
         F.sum("n").alias("m"), F.sum(F.col("n") * F.col("x")).alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
+    stats = written(stats, "stats")
     dev = train.alias("t").join(
-        F.broadcast(stats.select(F.col("fit").alias("f2"), F.col("code").alias("c2"), F.col("y").alias("y2"), "m", (F.col("s") / F.col("m")).alias("mean"))),
+        F.broadcast(stats.select(F.col("fit").alias("f2"), F.col("code").alias("c2"), F.col("y").alias("y2"), "m", "lo", (F.col("s") / F.col("m")).alias("mean"))),
         F.col("fit").eqNullSafe(F.col("f2")) & (F.col("code") == F.col("c2")) & (F.col("y") == F.col("y2")),
     )
     width = dev.groupBy("fit", "code", "y").agg(
-        F.max("m").alias("m"), F.sqrt(F.sum(F.col("n") * (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))) / (F.max("m") - 1)).alias("sd")
-    ).select("fit", "code", "y", "m", (F.col("sd") * F.pow(F.col("m").cast("double"), F.lit(-0.2))).alias("h"))
+        F.max("m").alias("m"), F.max("lo").alias("lo"), F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))), F.max("m") - 1)).alias("sd"),
+        F.count("x").alias("known"), F.count("*").alias("values"),
+    )
+    # a class with one value, or an unknown one, has no density
+    h = F.when(F.col("known") == F.col("values"), F.col("sd") * F.pow(F.col("m").cast("double"), F.lit(-0.2)))
+    width = written(width.select(F.col("fit").cast("long").alias("fit"), "code", F.col("y").cast("int").alias("y"), "m", "lo", h.alias("h")).filter("h > 0 AND NOT isnan(h)"), "width")
+    cells = kernel_cells(train, width)
+    models = [cells.filter(F.col("y") == y).select(F.col("fit").alias(f"f{y}"), F.col("code").alias(f"c{y}"), F.struct("m", "lo", "h", "cell", "w").alias(f"m{y}")) for y in (0, 1)]
     span = stats.groupBy("fit", "code").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(F.col("fit").alias("f2"), F.col("code").alias("c2"), "lo", "hi")
-    q = queries.filter(F.col("code").isin(*CONTINUOUS)).distinct().join(F.broadcast(span), F.col("fit").eqNullSafe(F.col("f2")) & (F.col("code") == F.col("c2")))
-    q = q.select("fit", "code", "x", F.greatest("lo", F.least("hi", "x")).alias("z"))
+    q = queries.filter(F.col("code").isin(*CONTINUOUS)).distinct()
     blocks = max(1, train.count() // (BLOCK * max(1, stats.count())))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    qb = q.select("fit", "code", "z").distinct().groupBy("fit", "code", block("z").alias("qb")).agg(F.collect_list("z").alias("z"))
-    tb = train.groupBy("fit", "code", "y", block("x").alias("tb")).agg(F.collect_list(F.struct("x", "n")).alias("v"))
-    tb = tb.join(F.broadcast(width.select(F.col("fit").alias("f2"), F.col("code").alias("c2"), F.col("y").alias("y2"), "m", "h")), F.col("fit").eqNullSafe(F.col("f2")) & (F.col("code") == F.col("c2")) & (F.col("y") == F.col("y2")))
-    tb = tb.select(F.col("fit").alias("f3"), F.col("code").alias("c3"), "y", F.col("v.x").alias("tx"), F.col("v.n").alias("tn"), "m", "h")
-    met = qb.join(tb, F.col("fit").eqNullSafe(F.col("f3")) & (F.col("code") == F.col("c3")))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    q = q.groupBy(F.col("fit").cast("long").alias("fit"), "code", F.pmod(F.xxhash64("x"), F.lit(blocks)).alias("qb")).agg(F.collect_list("x").alias("x"))
+    q = q.join(F.broadcast(span), F.col("fit").eqNullSafe(F.col("f2")) & (F.col("code") == F.col("c2"))).select("fit", "code", "x", F.col("lo").alias("least"), F.col("hi").alias("most"))
+    for y, model in enumerate(models):
+        q = q.join(F.broadcast(model), F.col("fit").eqNullSafe(F.col(f"f{y}")) & (F.col("code") == F.col(f"c{y}")), "left").drop(f"f{y}", f"c{y}")
+
+    def densities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for fit, code, y, z, tx, tn, m, h in zip(b["fit"], b["code"], b["y"], b["z"], b["tx"], b["tn"], b["m"], b["h"]):
-                z, tx, tn = np.asarray(z), np.asarray(tx), np.asarray(tn, dtype=np.float64)
-                out = np.zeros(len(z))
-                for a in range(0, len(tx), BLOCK):
-                    out += np.exp(-0.5 * ((z[:, None] - tx[None, a : a + BLOCK]) / h) ** 2) @ tn[a : a + BLOCK]
-                yield pd.DataFrame({"fit": pd.array([fit] * len(z), dtype="Int64"), "code": code, "y": y, "z": z, "d": out / (m * h * math.sqrt(2 * math.pi))})
-
-    cols = met.select(F.col("fit").cast("long").alias("fit"), "code", F.col("y").cast("int").alias("y"), "z", "tx", "tn", "m", "h")
-    dens = cols.mapInPandas(partial, "fit long, code string, y int, z double, d double").groupBy("fit", "code", "z").agg(
-        F.sum(F.when(F.col("y") == 1, F.col("d"))).alias("d1"), F.sum(F.when(F.col("y") == 0, F.col("d"))).alias("d0")
-    )
-    d = dens.select(F.col("fit").alias("f4"), F.col("code").alias("c4"), F.col("z").alias("z4"), F.log((F.col("d1") + FLOOR) / (F.col("d0") + FLOOR)).alias("llr"))
-    return q.join(d, F.col("fit").eqNullSafe(F.col("f4")) & (F.col("code") == F.col("c4")) & (F.col("z") == F.col("z4"))).select("fit", "code", "x", "llr")
+            for fit, code, x, least, most, *of in zip(b["fit"], b["code"], b["x"], b["least"], b["most"], b["m0"], b["m1"]):
+                x = np.sort(np.asarray(x))
+                z = np.clip(x, least, most)
+                d = [np.full(len(z), np.nan) if m is None else _density(z, m) for m in of]
+                yield pd.DataFrame({"fit": pd.array([None if pd.isna(fit) else int(fit)] * len(x), dtype="Int64"), "code": code, "x": x, "d0": d[0], "d1": d[1]})
+
+    dens = q.mapInPandas(densities, "fit long, code string, x double, d0 double, d1 double")
+    kind = queries.schema["fit"].dataType
+    return dens.select(F.col("fit").cast(kind).alias("fit"), "code", "x", F.log((F.col("d1") + FLOOR) / (F.col("d0") + FLOOR)).alias("llr"))
+
+
+def kernel_cells(train: DataFrame, width: DataFrame) -> DataFrame:
+    """``width`` (``fit``, ``code``, ``y``, the number ``m`` of values, the lowest ``lo``, the kernel's width ``h``) with ``cell`` and ``w``:
+    the numbers of the cells of h / 2 that hold training values, in order, and TERMS moments of each, one cell after the other.
+
+    With e the distance of a value to the middle of its cell and u that of a query, both over h, the kernel is
+    exp(-u^2 / 2) exp(-e^2 / 2) sum of (u e)^j / j!; the moments are the sums of n e^j / j! exp(-e^2 / 2).
+    |u e| is at most REACH / 4, for which the terms left out lie below the rounding of doubles. As h falls with the standard
+    deviation, cells are few: a value far from the others widens h.
+    """
+    keys = ["fit", "code", "y", "cell"]
+    names = [f"w{j}" for j in range(TERMS)]
+    w = width.select(F.col("fit").alias("f2"), F.col("code").alias("c2"), F.col("y").alias("y2"), "lo", "h")
+    x = train.join(F.broadcast(w), F.col("fit").eqNullSafe(F.col("f2")) & (F.col("code") == F.col("c2")) & (F.col("y") == F.col("y2")))
+    at = (F.col("x") - F.col("lo")) / F.col("h")
+    x = x.select(F.col("fit").cast("long").alias("fit"), "code", F.col("y").cast("int").alias("y"), F.floor(2 * at).cast("long").alias("cell"), at.alias("at"), F.col("n").cast("double").alias("n"))
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = None
+        for b in batches:
+            e = (b["at"] - (b["cell"] + 0.5) / 2).to_numpy()
+            term = b["n"].to_numpy() * np.exp(-0.5 * e * e)
+            part = b[keys].astype({"fit": "Int64"})
+            for j, name in enumerate(names):
+                part[name] = term
+                term = term * e / (j + 1)
+            part = part.groupby(keys, dropna=False).sum()
+            sums = part if sums is None else pd.concat([sums, part]).groupby(level=keys, dropna=False).sum()
+        if sums is not None:
+            yield sums.reset_index()
+
+    sums = x.mapInPandas(moments, "fit long, code string, y int, cell long, " + ", ".join(f"{n} double" for n in names))
+    sums = sums.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+    rows = sums.groupBy("fit", "code", "y").agg(F.array_sort(F.collect_list(F.struct("cell", F.array(*names).alias("w")))).alias("v"))
+    rows = rows.select(F.col("fit").alias("f2"), F.col("code").alias("c2"), F.col("y").alias("y2"), F.col("v.cell").alias("cell"), F.flatten("v.w").alias("w"))
+    return written(width.join(rows, F.col("fit").eqNullSafe(F.col("f2")) & (F.col("code") == F.col("c2")) & (F.col("y") == F.col("y2"))).select(*width.columns, "cell", "w"), "cells")
+
+
+def _density(z: np.ndarray, model: dict) -> np.ndarray:
+    """The kernel density at the ascending ``z`` from a row of :func:`kernel_cells`."""
+    h = model["h"]
+    middle = (np.asarray(model["cell"]) + 0.5) / 2
+    w = np.asarray(model["w"]).reshape(len(middle), TERMS)
+    at = (z - model["lo"]) / h
+    out = np.zeros(len(z))
+    for a in range(0, len(z), SLICE):
+        t = at[a : a + SLICE]
+        lo, hi = np.searchsorted(middle, [t[0] - REACH, t[-1] + REACH])
+        for i in range(lo, hi, SLICE):
+            k = slice(i, min(i + SLICE, hi))
+            u = t[:, None] - middle[k]
+            near = np.abs(u) <= REACH
+            u[~near] = 0.0
+            total = np.zeros_like(u) + w[k, -1]
+            for j in range(TERMS - 2, -1, -1):
+                total *= u
+                total += w[k, j]
+            out[a : a + SLICE] += (total * np.exp(-0.5 * u * u) * near).sum(axis=1)
+    return out / (model["m"] * h * math.sqrt(2 * math.pi))
 
 
 def method_scores(train: DataFrame, test: DataFrame, fold: str, label: str, keep: Sequence[str]) -> DataFrame:
@@ -194,13 +264,14 @@ def _expressions() -> list[Column]:
     for name, codes in methods():
         est = name.split(":")[0]
         if est == "RAW":
-            v = F.col("D").cast("double")
+            v = F.bround(F.col("D").cast("double"), 12)
         else:
             v = F.lit(0.0)
             for c in codes:
                 k = F.col(f"q_{c}") if est == "QNB" else F.greatest(F.lit(-CAPS[est][c]), F.least(F.lit(CAPS[est][c]), F.col(f"k_{c}")))
-                v = v + F.bround(k, 12)
-        out.append(F.struct(F.lit(name).alias("method"), F.when(complete, F.bround(v, 12)).alias("score")))
+                v = v + _half_even(k)
+            v = _half_even(v)
+        out.append(F.struct(F.lit(name).alias("method"), F.when(complete, v).alias("score")))
     return out
 
 

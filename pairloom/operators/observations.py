@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pairloom.operators.positions import _changes
 
 
 def aggregate_observations(
@@ -17,31 +22,76 @@ def aggregate_observations(
     source, ``feature_complete``, the ``constant`` columns and ``flags`` (true for all rows).
 
     A feature with a missing or infinite value in any observation is null. Raises if a constant column varies or is missing.
+    Rows are sorted by pair and source; a task holds the observations of one pair besides its current batch.
     """
     from pairloom.operators.checks import inconsistent, require
 
     if constant:
         require({"Inconsistent assignment": inconsistent(df, pair, constant)})
     flags = flags or {}
-    bad = {n: F.max(F.coalesce(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(True))) for n, c in ((n, F.col(c).cast("double")) for n, c in features.items())}
-    per = df.groupBy(*pair, source).agg(
-        F.count("*").alias("c__"),
-        *[F.median(F.col(c).cast("double")).alias(n) for n, c in features.items()],
-        *[b.alias(f"bad_{n}") for n, b in bad.items()],
-        *[F.min(c).alias(c) for c in constant],
-        *[F.min(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()],
-    )
-    out = per.groupBy(*pair).agg(
-        F.sum("c__").alias("observations"), F.count("*").alias("sources"),
-        *[F.when(~F.max(f"bad_{n}"), F.median(n)).alias(n) for n in features],
-        *[F.min(c).alias(c) for c in constant], *[F.min(n).alias(n) for n in flags],
+    rows = df.select(
+        *pair, F.col(source).alias("source__"), *[F.col(c).cast("double").alias(n) for n, c in features.items()],
+        *[c for c in constant if c not in pair], *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()],
     )
+    ordered = rows.repartition(*pair).sortWithinPartitions(*pair, "source__")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    fields = [*[(c, kinds[c]) for c in pair], ("observations", T.LongType()), ("sources", T.LongType()), *[(n, T.DoubleType()) for n in features]]
+    fields += [(c, kinds[c]) for c in constant if c not in pair] + [(n, T.BooleanType()) for n in flags]
+    out = ordered.mapInArrow(_summaries(list(pair), list(features), [c for c in constant if c not in pair], list(flags)), T.StructType([T.StructField(n, t) for n, t in fields]))
     complete = F.lit(True)
     for n in features:
         complete = complete & F.col(n).isNotNull()
     return out.withColumn("feature_complete", complete)
 
 
+def _summaries(pair: list[str], features: list[str], constant: list[str], flags: list[str]):
+    """Rows in the order of pair and source to a row per pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = np.flatnonzero(_changes(b, pair, last))
+            last = {c: b.column(c)[-1].as_py() for c in pair}
+            if not len(starts):
+                held.append(b)
+                continue
+            if done := [x for x in [*held, b.slice(0, starts[-1])] if x.num_rows]:
+                yield one(pa.Table.from_batches(done).combine_chunks().to_batches()[0])
+            held = [b.slice(starts[-1])]
+        if held:
+            yield one(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        new_pair = _changes(b, pair, None)
+        new_source = new_pair | _changes(b, ["source__"], None)
+        pairs, sources = np.flatnonzero(new_pair), np.flatnonzero(new_source)
+        own = np.cumsum(new_pair)[sources] - 1  # the pair of each source
+        first = np.searchsorted(own, np.arange(len(pairs)))
+        out = [b.column(c).take(pa.array(pairs)) for c in pair]
+        out += [pa.array(np.diff(np.append(pairs, b.num_rows))), pa.array(np.diff(np.append(first, len(sources))))]
+        for n in features:
+            x = b.column(n).to_numpy(zero_copy_only=False)  # null is NaN
+            bad = np.logical_or.reduceat(~np.isfinite(x), pairs)
+            per = _medians(x, sources, np.cumsum(new_source) - 1)
+            out.append(pa.array(_medians(per, first, own), mask=bad))
+        out += [b.column(c).take(pa.array(pairs)) for c in constant]
+        out += [pa.array(np.logical_and.reduceat(b.column(n).to_numpy(zero_copy_only=False).astype(bool), pairs)) for n in flags]
+        return pa.RecordBatch.from_arrays(out, names=[*pair, "observations", "sources", *features, *constant, *flags])
+
+    return run
+
+
+def _medians(x: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The median of each run of ``group``, that begins at ``starts``."""
+    x = x[np.lexsort((x, group))]
+    n = np.diff(np.append(starts, len(x)))
+    with np.errstate(invalid="ignore"):  # of infinite values, that make their pair null
+        return 0.5 * x[starts + (n - 1) // 2] + 0.5 * x[starts + n // 2]
+
+
 def mean_of_source_means(df: DataFrame, pair: Sequence[str], source: str, value: Column, name: str) -> DataFrame:
     return df.groupBy(*pair, source).agg(F.avg(value).alias("v__")).groupBy(*pair).agg(F.avg("v__").alias(name))
 
