@@ -236,8 +236,8 @@ def _density(z: np.ndarray, model: dict) -> np.ndarray:
     return out / (model["m"] * h * math.sqrt(2 * math.pi))
 
 
-def method_scores(train: DataFrame, test: DataFrame, fold: str, label: str, keep: Sequence[str]) -> DataFrame:
-    """``keep``, ``method``, ``score`` of every test row and each of the 46 methods.
+def method_scores(train: DataFrame, test: DataFrame, fold: str, label: str, keep: Sequence[str], only: Sequence[str] = ()) -> DataFrame:
+    """``keep``, ``method``, ``score`` of every test row and each of the 46 methods, or of those named in ``only``.
 
     Test rows are scored by the model of their fold. Components and sums are rounded half-even at 12
     digits, kernel components capped first. Rows with an incomplete feature get null scores.
@@ -253,15 +253,17 @@ def method_scores(train: DataFrame, test: DataFrame, fold: str, label: str, keep
         for c in CODES:
             part = comp.filter(F.col("code") == c).select(F.col("fit").alias(f"f_{name}{c}"), F.col("x").alias(f"x_{name}{c}"), F.col("llr").alias(f"{name}_{c}"))
             x = x.join(part, F.col("fit").eqNullSafe(F.col(f"f_{name}{c}")) & (F.col(c).cast("double") == F.col(f"x_{name}{c}")), "left")
-    return x.select(*keep, F.explode(F.array(*_expressions())).alias("m")).select(*keep, "m.method", "m.score")
+    return x.select(*keep, F.explode(F.array(*_expressions(only))).alias("m")).select(*keep, "m.method", "m.score")
 
 
-def _expressions() -> list[Column]:
+def _expressions(only: Sequence[str] = ()) -> list[Column]:
     complete = F.lit(True)
     for c in CODES:
         complete = complete & F.col(c).isNotNull()
     out = []
     for name, codes in methods():
+        if only and name not in only:
+            continue
         est = name.split(":")[0]
         if est == "RAW":
             v = F.bround(F.col("D").cast("double"), 12)

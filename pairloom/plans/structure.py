@@ -65,22 +65,26 @@ def _scores(spark, d):
     return L.method_scores(p, p, "fold", "y", ["a", "b"])
 
 
+def _some_scores(p, *methods):
+    s = L.method_scores(p, p, "fold", "y", ["a", "b"], methods)
+    return written(s.withColumn("score", F.round("score", 6)).withColumn("id", F.concat_ws(":", "a", "b")), "scores")
+
+
 def oof_method_scores(spark, d):
     return rounded(_scores(spark, d), "score", digits=6)
 
 
 def rank_candidates(spark, d):
-    s = _scores(spark, d).withColumn("score", F.round("score", 6)).withColumn("id", F.concat_ws(":", "a", "b"))
-    r = L.rank_candidates(written(s.filter(F.col("method").isin("RAW:RAW_D", "QNB:D+AR", "QNB:D+MW+LP+AR")), "scores"), "id", "a")
+    r = L.rank_candidates(_some_scores(_fitted(spark, d), "RAW:RAW_D", "QNB:D+AR", "QNB:D+MW+LP+AR"), "id", "a")
     return rounded(r, "global_rank", "global_fraction", "within_rank", "within_fraction")
 
 
 def review_funnel(spark, d):
-    p = _fitted(spark, d).withColumn("id", F.concat_ws(":", "a", "b")).withColumn("min_heavy_distance", F.col("D") / 3)
+    p = _fitted(spark, d)
+    r = L.rank_candidates(_some_scores(p, *L.VIEWS), "id", "a")
+    p = p.withColumn("id", F.concat_ws(":", "a", "b")).withColumn("min_heavy_distance", F.col("D") / 3)
     f = O.mean_of_source_means(_obs(spark, d), ["a", "b"], "pdb", (F.col("l_quantity") >= 10).cast("double"), "fraction_ge10")
     p = p.join(f, ["a", "b"])
-    s = _scores(spark, d).filter(F.col("method").isin(*L.VIEWS)).withColumn("score", F.round("score", 6)).withColumn("id", F.concat_ws(":", "a", "b"))
-    r = L.rank_candidates(written(s, "scores"), "id", "a")
     return L.review_funnel(p, r, "id").select("id", "global_hit", "protein_hit", "spatial_pass", "role_pass", "agreement_pass", "repeated_pass")
 
 

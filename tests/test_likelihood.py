@@ -86,3 +86,12 @@ def test_medians_of_pairs_over_many_batches(spark):
         per = g.groupby("s")[["x", "z"]].median().median()
         assert (x["observations"], x["sources"], x["t"], x["ok"]) == (len(g), g.s.nunique(), "c", bool(g.f.all()))
         assert x["X"] == per["x"] and (x["Z"] is None if p in (6, 7) else x["Z"] == pytest.approx(per["z"])) and x["feature_complete"] == (p not in (6, 7))
+
+
+def test_named_methods_alone_are_scored(spark):
+    r = np.random.default_rng(10)
+    rows = [(k, k % 3, int(r.integers(0, 2)), *(float(x) for x in r.normal(size=3)), float(r.integers(0, 3))) for k in range(90)]
+    df = spark.createDataFrame(rows, "id int, fold int, y int, D double, MW double, LP double, AR double")
+    every = {(x["id"], x["method"]): x["score"] for x in L.method_scores(df, df, "fold", "y", ["id"]).collect()}
+    some = {(x["id"], x["method"]): x["score"] for x in L.method_scores(df, df, "fold", "y", ["id"], L.VIEWS).collect()}
+    assert len(every) == 90 * 46 and some == pytest.approx({k: v for k, v in every.items() if k[1] in L.VIEWS}, abs=1e-11)
