@@ -1,5 +1,7 @@
 """Kernel densities from moments of cells against the kernels one by one."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,9 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import likelihood as L
 from pairloom.operators import observations as O
+from pairloom.plans import structure
+
+DATA = "/root/testdata/sf0.001"
 
 
 def direct(x, n, z):
@@ -95,3 +100,10 @@ def test_named_methods_alone_are_scored(spark):
     every = {(x["id"], x["method"]): x["score"] for x in L.method_scores(df, df, "fold", "y", ["id"]).collect()}
     some = {(x["id"], x["method"]): x["score"] for x in L.method_scores(df, df, "fold", "y", ["id"], L.VIEWS).collect()}
     assert len(every) == 90 * 46 and some == pytest.approx({k: v for k, v in every.items() if k[1] in L.VIEWS}, abs=1e-11)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_funnel_fits_its_pairs_once(spark, monkeypatch):
+    calls, own = [], structure._pairs
+    monkeypatch.setattr(structure, "_pairs", lambda *a: calls.append(a) or own(*a))
+    assert structure.review_funnel(spark, DATA).count() > 0 and len(calls) == 1
