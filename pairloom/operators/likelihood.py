@@ -12,10 +12,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.positions import grouped_positions
+from pairloom.operators.positions import _changes, grouped_positions
 from pairloom.session import written
 
 ALPHA = 0.5
@@ -28,6 +29,7 @@ BLOCK = 4096
 REACH = 12.0  # widths beyond which a kernel is left out, being below 1e-31 of its peak
 TERMS = 32  # moments of a cell
 SLICE = 256  # queries, and cells, that are set against each other at once
+NODES = 24  # places in a cell at which a density is summed where there are many queries; a polynomial through them gives the others
 
 
 def methods() -> list[tuple[str, tuple[str, ...]]]:
@@ -277,6 +279,255 @@ def _expressions(only: Sequence[str] = ()) -> list[Column]:
     return out
 
 
+def _needed(only: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The features whose bins, and those whose kernels, the methods ``only`` add up."""
+    bins, kernels = set(), set()
+    for name, codes in methods():
+        if name in only and not name.startswith("RAW"):
+            kde = {c for c in codes if c in CONTINUOUS and not name.startswith("QNB")}
+            bins, kernels = bins | (set(codes) - kde), kernels | kde
+    return [c for c in CODES if c in bins], [c for c in CODES if c in kernels]
+
+
+def wide_scores(train: DataFrame, test: DataFrame, fold: str, label: str, only: Sequence[str]) -> DataFrame:
+    """``test`` with the scores of :func:`method_scores` of the i-th method in ``only`` as ``s{i}``.
+
+    Only the parts that these methods add up are fitted: bins and moments of cells, that are of no more rows than a histogram, come to the
+    driver, and test rows are scored in batches where they are, without joins.
+    """
+    spark = train.sparkSession
+    bins, kernels = _needed(only)
+    models = spark.sparkContext.broadcast((_bin_models(train, fold, label, bins), _kernel_models(train, fold, label, kernels)))
+    parts = dict(methods())
+    sums = [(i, m.split(":")[0], parts[m]) for i, m in enumerate(only) if not m.startswith("RAW")]
+    kind = [f"s{i} double" for i, _, _ in sums]
+    codes = sorted({*bins, *kernels})
+    kept = len(test.columns)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_bins, of_kernels = models.value
+        for b in batches:
+            fits = b.column("fit__").dictionary_encode()
+            at = fits.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            x = {c: b.column(f"x__{c}").to_numpy(zero_copy_only=False) for c in codes}
+            q = {c: np.full(b.num_rows, np.nan) for c in bins}
+            k = {c: np.full(b.num_rows, np.nan) for c in kernels}
+            for i, fit in [(-1, None), *enumerate(fits.dictionary.to_pylist())]:
+                own = np.flatnonzero(at == i)
+                if len(own):
+                    for models_of, out, value in ((of_bins, q, _bin_value), (of_kernels, k, _kernel_value)):
+                        for c in out:
+                            if model := models_of.get((fit, c)):
+                                out[c][own] = value(model, x[c][own])
+            out = []
+            for _, est, added in sums:
+                total = np.zeros(b.num_rows)
+                for c in added:
+                    if est == "QNB":
+                        v = q[c]
+                    else:  # an unknown ratio counts as the cap, as least() and greatest() skip nulls
+                        v = k[c] if c in CONTINUOUS else q[c]
+                        v = np.clip(np.where(np.isnan(v), CAPS[est][c], v), -CAPS[est][c], CAPS[est][c])
+                    total = total + np.rint(v * 1e12) / 1e12
+                total = np.rint(total * 1e12) / 1e12
+                out.append(pa.array(total, mask=np.isnan(total)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *out], names=[*b.schema.names[:kept], *[f"s{i}" for i, _, _ in sums]])
+
+    complete = F.lit(True)
+    for c in CODES:
+        complete = complete & F.col(c).isNotNull()
+    rows = test.select(*test.columns, F.col(fold).alias("fit__"), *[F.col(c).cast("double").alias(f"x__{c}") for c in codes])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in test.schema.fields], *kind])
+    scored = rows.mapInArrow(score, schema)
+    value = lambda i, m: F.bround(F.col("D").cast("double"), 12) if m.startswith("RAW") else F.col(f"s{i}")
+    return scored.select(*test.columns, *[F.when(complete, value(i, m)).alias(f"s{i}") for i, m in enumerate(only)])
+
+
+def _bin_models(train: DataFrame, fold: str, label: str, codes: Sequence[str]) -> dict:
+    """(fit, code) to (edges or categories, log ratio of each bin)."""
+    if not codes:
+        return {}
+    grid, llr = fit_qnb(written(training_long(train, fold, label, codes), "training"))
+    found: dict = {}
+    for r in llr.collect():
+        found.setdefault((r["fit"], r["code"]), {})[r["bin"]] = r["llr"]
+    # a bin without a ratio is unknown
+    return {
+        (r["fit"], r["code"]): (np.array(r["edges"], dtype=float), np.array([np.nan if (v := found[r["fit"], r["code"]].get(i)) is None else v for i in range(len(r["edges"]) + 1)]), r["code"] in CONTINUOUS)
+        for r in grid.collect() if (r["fit"], r["code"]) in found
+    }
+
+
+def _bin_value(model: tuple, x: np.ndarray) -> np.ndarray:
+    edges, llr, continuous = model
+    if continuous:
+        at = np.searchsorted(edges, x, side="right")
+    else:
+        at = np.searchsorted(edges, x)
+        at[(at == len(edges)) | (np.append(edges, np.nan)[at] != x)] = len(edges)  # unseen categories have the last bin
+    return np.where(np.isnan(x), np.nan, llr[at])
+
+
+def _kernel_models(train: DataFrame, fold: str, label: str, codes: Sequence[str]) -> dict:
+    """(fit, code) to (lowest and highest training value, the :func:`_pieces` of either class).
+
+    Rows are summed once, for their own fold and class, to moments of cells; those of a fit are the ones of its training folds.
+    The cells of a fold are at most h / 2 wide for the least width h of the fits that train on it.
+    """
+    if not codes:
+        return {}
+    spark = train.sparkSession
+    rows = train.select(F.col(fold).alias("own"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in codes])
+    aggs = lambda c: F.struct(F.count("*").alias("m"), F.count(c).alias("known"), F.avg(c).alias("mean"), (F.var_pop(c) * F.count(c)).alias("dev"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
+    stats = rows.groupBy("own", "y").agg(*[aggs(c) for c in codes]).collect()
+    fits = list(dict.fromkeys(r["own"] for r in stats))
+    spans, widths, steps = {}, {}, {}
+    for fit in fits:
+        of = [r for r in stats if fit is None or (r["own"] is not None and r["own"] != fit)]
+        for c in codes:
+            seen = [r[c] for r in of if r[c]["known"]]
+            if seen:
+                # a NaN counts as the highest value
+                spans[fit, c] = (min((s["lo"] for s in seen), key=lambda v: (np.isnan(v), v)), max((s["hi"] for s in seen), key=lambda v: (np.isnan(v), v)))
+            for y in (0, 1):
+                own = [r for r in of if r["y"] == y]
+                m = sum(r[c]["m"] for r in own)
+                if m < 2 or any(r[c]["known"] < r[c]["m"] for r in own):
+                    continue  # a class with one value, or an unknown one, has no density
+                mean = sum(r[c]["m"] * r[c]["mean"] for r in own) / m
+                dev = sum(r[c]["dev"] + r[c]["m"] * (r[c]["mean"] - mean) ** 2 for r in own)
+                h = math.sqrt(dev / (m - 1)) * float(m) ** -0.2 if math.isfinite(dev) else math.nan
+                if h > 0:
+                    widths[fit, c, y] = (m, min(r[c]["lo"] for r in own), h)
+                    for r in own:
+                        steps[r["own"], y, c] = min(h / 2, steps.get((r["own"], y, c), math.inf))
+    if not widths:
+        return {key: (*span, (None, None)) for key, span in spans.items()}
+    groups = [(r["own"], r["y"]) for r in stats if r["y"] in (0, 1)]
+    lows = {(r["own"], r["y"], c): r[c]["lo"] for r in stats for c in codes}
+    own_kind = rows.schema["own"].dataType.simpleString()
+    grids = spark.createDataFrame(
+        [(own, y, i, *itertools.chain(*[(lows[own, y, c], steps[own, y, c]) if (own, y, c) in steps else (None, None) for c in codes])) for i, (own, y) in enumerate(groups)],
+        f"own2 {own_kind}, y2 int, g long, " + ", ".join(f"lo{i} double, step{i} double" for i in range(len(codes))),
+    )
+    x = rows.join(F.broadcast(grids), F.col("own").eqNullSafe(F.col("own2")) & (F.col("y") == F.col("y2")))
+    at = [(F.col(c) - F.col(f"lo{i}")) / F.col(f"step{i}") for i, c in enumerate(codes)]
+    x = x.select("g", *[a.alias(f"at{i}") for i, a in enumerate(at)])
+    names = [f"w{j}" for j in range(TERMS)]
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {i: [] for i in range(len(codes))}
+        for b in batches:
+            g = b.column("g").to_numpy()
+            for i in held:
+                v = b.column(f"at{i}").to_numpy(zero_copy_only=False)
+                known = np.isfinite(v)
+                cell = np.floor(v[known])
+                places, inverse = np.unique(np.stack([g[known], cell.astype(np.int64)]), axis=1, return_inverse=True)
+                e = v[known] - cell - 0.5
+                w, term = np.empty((places.shape[1], TERMS)), np.ones(len(e))
+                for j in range(TERMS):
+                    w[:, j] = np.bincount(inverse.ravel(), term, places.shape[1])
+                    term = term * e / (j + 1)
+                held[i].append((*places, w))
+                if len(held[i]) >= 64:
+                    held[i] = [_merged(held[i])]
+        for i, parts in held.items():
+            if parts:
+                g, cell, w = _merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i), pa.int32()), pa.array(g), pa.array(cell), *[pa.array(w[:, j]) for j in range(TERMS)]], names=["i", "g", "cell", *names])
+
+    sums = x.mapInArrow(moments, "i int, g long, cell long, " + ", ".join(f"{n} double" for n in names))
+    sums = sums.groupBy("i", "g", "cell").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    index = [sums.column(n).to_numpy() for n in ("i", "g", "cell")]
+    w = np.stack([sums.column(n).to_numpy() for n in names], axis=1)
+    cells = {}
+    for i, c in enumerate(codes):
+        for g, (own, y) in enumerate(groups):
+            of = (index[0] == i) & (index[1] == g)
+            cells[own, y, c] = (index[2][of], w[of])
+
+    jobs = []
+    for (fit, c, y), (m, lo, h) in widths.items():
+        middles, weights = [], []
+        for own, of in groups:
+            if of == y and (fit is None or (own is not None and own != fit)):
+                cell, w = cells[own, y, c]
+                step = steps[own, y, c]
+                middles.append((lows[own, y, c] - lo + (cell + 0.5) * step) / h)
+                weights.append(w * (step / h) ** np.arange(TERMS) @ _SHIFT)
+        middle = np.concatenate(middles)
+        order = np.argsort(middle, kind="stable")
+        jobs.append(((fit, c, y), {"m": m, "lo": lo, "h": h, "cell": 2 * middle[order] - 0.5, "w": np.concatenate(weights)[order]}, spans[fit, c]))
+    pieces = dict(spark.sparkContext.parallelize(jobs, len(jobs)).map(lambda job: (job[0], _pieces(job[1], *job[2]))).collect())
+    return {(fit, c): (*span, tuple(pieces.get((fit, c, y)) for y in (0, 1))) for (fit, c), span in spans.items()}
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Moments of the same group and cell added up."""
+    g, cell, w = (np.concatenate(p) for p in zip(*parts))
+    order = np.lexsort((cell, g))
+    g, cell, w = g[order], cell[order], w[order]
+    if not len(g):
+        return g, cell, w
+    new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (cell[1:] != cell[:-1])))
+    return g[new], cell[new], np.add.reduceat(w, new)
+
+
+def _shift() -> np.ndarray:
+    """From sums of e^j / j! to those of e^j / j! exp(-e^2 / 2), |e| being at most 1/4."""
+    out = np.zeros((TERMS, TERMS))
+    for j in range(TERMS):
+        for k in range((TERMS - 1 - j) // 2 + 1):
+            out[j + 2 * k, j] = (-0.5) ** k / math.factorial(k) * (math.factorial(j + 2 * k) // math.factorial(j))
+    return out
+
+
+_SHIFT = _shift()
+_PLACES = -np.cos(np.pi * (np.arange(NODES) + 0.5) / NODES)  # ascending in -1 to 1
+_CHEBYSHEV = np.cos(np.outer(np.arange(NODES), np.arccos(_PLACES))) * np.where(np.arange(NODES) == 0, 1, 2)[:, None] / NODES
+
+
+def _pieces(model: dict, least: float, most: float) -> tuple:
+    """(lowest value, width h, cells of h / 2 within reach of training values, a Chebyshev series of the density for each) between ``least`` and ``most``.
+
+    Within a cell a kernel at REACH widths changes by exp(6), for which the terms left out lie below the rounding of doubles.
+    """
+    lo, h = model["lo"], model["h"]
+    reach = int(2 * REACH) + 1
+    cell = np.unique(np.floor(model["cell"] + 0.5).astype(np.int64))
+    cell = np.unique(cell[:, None] + np.arange(-reach, reach + 1))
+    if math.isfinite(least) and math.isfinite(most):
+        cell = cell[(cell >= math.floor(2 * (least - lo) / h)) & (cell <= math.floor(2 * (most - lo) / h))]
+    at = (cell[:, None] + 0.5 + 0.5 * _PLACES) / 2
+    d = _density(lo + h * at.ravel(), model).reshape(at.shape)
+    return lo, h, cell, np.ascontiguousarray((d @ _CHEBYSHEV.T).T)
+
+
+def _kernel_value(model: tuple, x: np.ndarray) -> np.ndarray:
+    """The log ratio of both densities at ``x``, unknown where a class has none."""
+    least, most, pieces = model
+    z, d = np.clip(x, least, most), []
+    for piece in pieces:
+        if piece is None:
+            return np.full(len(x), np.nan)
+        lo, h, cells, series = piece
+        if not len(cells):
+            d.append(np.where(np.isfinite(z), 0.0, np.nan))
+            continue
+        at = 2 * ((z - lo) / h)
+        known = np.isfinite(at)
+        cell = np.floor(np.where(known, at, 0.0))
+        i = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+        t = 2 * (at - cell) - 1
+        b1 = b2 = np.zeros(len(x))
+        for c in series[:0:-1]:
+            b1, b2 = c[i] + 2 * t * b1 - b2, b1
+        v = np.where(cells[i] == cell, series[0][i] + t * b1 - b2, 0.0)
+        d.append(np.where(known, np.maximum(v, 0.0), np.nan))
+    return np.log((d[1] + FLOOR) / (d[0] + FLOOR))
+
+
 VIEWS = ("RAW:RAW_D", "KDE_LEGACY:D+AR", "KDE_LEGACY:D+MW", "QNB:D+AR")
 
 
@@ -289,13 +540,101 @@ def rank_candidates(scores: DataFrame, row_id: str, entity: str) -> DataFrame:
     return g.join(w, [row_id, "method"])
 
 
+HELD = 100_000  # rows of an entity that a task ranks at once; a larger one is ranked by positions
+
+
+def votes(scores: DataFrame, ids: Sequence[str], entity: str, names: Sequence[str], cut: float = 0.1, rows: DataFrame | None = None) -> DataFrame:
+    """``scores``, a row per ``ids`` with the columns ``names``, with ``global_hit`` and ``protein_hit``: in how many of these columns the rank fraction of
+    :func:`rank_candidates` over all rows, and within the entity, is at most ``cut``.
+
+    Of all ranks only the lowest score within the cut is looked for, among those above a quantile that lies safely below it.
+    ``rows``: the rows without their scores, if these are cheaper to count by entity.
+    """
+    from pairloom.operators.keys import finite
+    from pairloom.operators.ranks import null_safe_join, rank_fraction, tie_table
+
+    scores = scores.withColumns({n: finite(F.col(n)) for n in names})
+    size = (scores if rows is None else rows).groupBy(F.col(entity).alias("e__")).agg(F.count("*").alias("n__")).filter(F.col("n__") > HELD).select("e__")
+    if size.isEmpty():
+        within = _held_hits(scores, entity, names, cut)
+    else:
+        hot = written(size, "hot")
+        same = F.col(entity).eqNullSafe(F.col("e__"))
+        large = scores.join(F.broadcast(hot), same, "left_semi")
+        long = large.select(*ids, entity, F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.col(n).alias("score")) for n in names])).alias("m")).select(*ids, entity, "m.*")
+        hits = rank_fraction(written(long, "hot"), ["method", entity], F.col("score")).groupBy(*ids).agg(F.sum((F.col("fraction") <= cut).cast("long")).alias("protein_hit"))
+        within = _held_hits(scores.join(F.broadcast(hot), same, "left_anti"), entity, names, cut).unionByName(null_safe_join(large, hits, ids))
+    within = written(within, "votes")
+    n = within.agg(*[F.count(c).alias(c) for c in names]).first()
+    above = within.approxQuantile(list(names), [max(0.0, 1 - cut - 0.01)], 0.002)
+    top = [F.struct(F.lit(c).alias("method"), F.when(F.col(c) >= q[0], F.col(c)).alias("score"), F.lit(n[c]).alias("scored")) for c, q in zip(names, above) if q]
+    least = {}
+    if top:
+        ties = tie_table(within.select(F.explode(F.array(*top)).alias("m")).select("m.*"), ["method", "scored"], F.col("score"))
+        rank = F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)
+        least = {r["method"]: r["least"] for r in ties.filter((rank - 0.5) / F.col("scored") <= cut).groupBy("method").agg(F.min("score").alias("least")).collect()}
+    known = sum(F.col(c).isNotNull().cast("long") for c in names)
+    hits = sum((F.coalesce(F.col(c) >= F.lit(least.get(c)).cast("double"), F.lit(False)).cast("long") for c in names))
+    return within.withColumn("global_hit", F.when(known > 0, hits))
+
+
+def _held_hits(scores: DataFrame, entity: str, names: Sequence[str], cut: float) -> DataFrame:
+    """``scores`` with ``protein_hit``; a task holds one entity's rows besides its current batch."""
+    names = list(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = np.flatnonzero(_changes(b, [entity], last))
+            last = {entity: b.column(entity)[-1].as_py()}
+            if not len(starts):
+                held.append(b)
+                continue
+            if done := [x for x in [*held, b.slice(0, starts[-1])] if x.num_rows]:
+                yield one(pa.Table.from_batches(done).combine_chunks().to_batches()[0])
+            held = [b.slice(starts[-1])]
+        if held:
+            yield one(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        group = np.cumsum(_changes(b, [entity], None)) - 1
+        hits, known = np.zeros(b.num_rows, dtype=np.int64), np.zeros(b.num_rows, dtype=bool)
+        for n in names:
+            rows = np.flatnonzero(b.column(n).is_valid().to_numpy(zero_copy_only=False))
+            if not len(rows):
+                continue
+            s = b.column(n).to_numpy(zero_copy_only=False)
+            rows = rows[np.lexsort((-s[rows], group[rows]))]
+            g, v = group[rows], s[rows]
+            new_group = np.append(True, g[1:] != g[:-1])
+            new_score = new_group | np.append(True, v[1:] != v[:-1])
+            groups, ties = np.flatnonzero(new_group), np.flatnonzero(new_score)
+            peers = np.diff(np.append(ties, len(rows)))
+            size = np.diff(np.append(groups, len(rows)))
+            of = np.cumsum(new_group)[ties] - 1
+            rank = (ties - groups[of] + peers) - (peers - 1) / 2.0
+            hits[rows] += np.repeat((rank - 0.5) / size[of] <= cut, peers)
+            known[rows] = True
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, mask=~known)], names=[*b.schema.names, "protein_hit"])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in scores.schema.fields], "protein_hit long"])
+    return scores.repartition(entity).sortWithinPartitions(entity).mapInArrow(run, schema)
+
+
 def review_funnel(pairs: DataFrame, rankings: DataFrame, row_id: str, cut: float = 0.1) -> DataFrame:
     """``pairs`` with the votes of the four views and the cumulative passes spatial, role, agreement, repeated."""
     v = rankings.filter(F.col("method").isin(*VIEWS)).groupBy(row_id).agg(
         F.sum((F.col("global_fraction") <= cut).cast("long")).alias("global_hit"), F.sum((F.col("within_fraction") <= cut).cast("long")).alias("protein_hit")
     )
+    return funnel_passes(pairs.join(v, row_id))
+
+
+def funnel_passes(x: DataFrame) -> DataFrame:
+    """``x``, pairs with ``global_hit`` and ``protein_hit``, with the cumulative passes."""
     ok = lambda c: F.coalesce(c, F.lit(False))
-    x = pairs.join(v, row_id)
     x = x.withColumn("spatial_pass", ok((F.col("D") >= 10) & (F.col("min_heavy_distance") >= 6) & F.col("no_residue_overlap")))
     x = x.withColumn("role_pass", F.col("spatial_pass") & ok(F.col("compound_pass") & F.col("known_role_pass")))
     x = x.withColumn("agreement_pass", F.col("role_pass") & ok((F.col("global_hit") >= 2) & (F.col("protein_hit") >= 3)))

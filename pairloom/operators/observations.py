@@ -16,36 +16,41 @@ from pairloom.operators.positions import _changes
 
 
 def aggregate_observations(
-    df: DataFrame, pair: Sequence[str], observation: str, source: str, features: dict[str, str], constant: Sequence[str] = (), flags: dict[str, Column] | None = None
+    df: DataFrame, pair: Sequence[str], observation: str, source: str, features: dict[str, str], constant: Sequence[str] = (), flags: dict[str, Column] | None = None,
+    means: dict[str, Column] | None = None, checked: bool = True,
 ) -> DataFrame:
     """One row per pair: ``observations``, ``sources``, each feature as the median of its medians per
-    source, ``feature_complete``, the ``constant`` columns and ``flags`` (true for all rows).
+    source, ``feature_complete``, the ``constant`` columns, ``flags`` (true for all rows) and ``means`` (as :func:`mean_of_source_means`).
 
-    A feature with a missing or infinite value in any observation is null. Raises if a constant column varies or is missing.
+    A feature with a missing or infinite value in any observation is null. Raises if a constant column varies or is missing;
+    with ``checked`` false, which saves a pass over the rows, ``consistent`` says of each pair that none does, and the caller raises.
     Rows are sorted by pair and source; a task holds the observations of one pair besides its current batch.
     """
     from pairloom.operators.checks import inconsistent, require
 
-    if constant:
+    if constant and checked:
         require({"Inconsistent assignment": inconsistent(df, pair, constant)})
-    flags = flags or {}
+    flags, means = flags or {}, means or {}
+    bits = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(flags.values())), F.lit(0).cast("long"))
+    others = [c for c in constant if c not in pair]
     rows = df.select(
         *pair, F.col(source).alias("source__"), *[F.col(c).cast("double").alias(n) for n, c in features.items()],
-        *[c for c in constant if c not in pair], *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()],
+        *others, *([bits.alias("flags__")] if flags else []), *[c.cast("double").alias(n) for n, c in means.items()],
     )
     ordered = rows.repartition(*pair).sortWithinPartitions(*pair, "source__")
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     fields = [*[(c, kinds[c]) for c in pair], ("observations", T.LongType()), ("sources", T.LongType()), *[(n, T.DoubleType()) for n in features]]
-    fields += [(c, kinds[c]) for c in constant if c not in pair] + [(n, T.BooleanType()) for n in flags]
-    out = ordered.mapInArrow(_summaries(list(pair), list(features), [c for c in constant if c not in pair], list(flags)), T.StructType([T.StructField(n, t) for n, t in fields]))
+    fields += [(c, kinds[c]) for c in others] + [(n, T.BooleanType()) for n in flags] + [(n, T.DoubleType()) for n in means]
+    fields += [] if checked else [("consistent", T.BooleanType())]
+    out = ordered.mapInArrow(_summaries(list(pair), list(features), others, list(flags), list(means), None if checked else list(constant)), T.StructType([T.StructField(n, t) for n, t in fields]))
     complete = F.lit(True)
     for n in features:
         complete = complete & F.col(n).isNotNull()
     return out.withColumn("feature_complete", complete)
 
 
-def _summaries(pair: list[str], features: list[str], constant: list[str], flags: list[str]):
-    """Rows in the order of pair and source to a row per pair."""
+def _summaries(pair: list[str], features: list[str], constant: list[str], flags: list[str], means: list[str], fixed: list[str] | None):
+    """Rows in the order of pair and source to a row per pair; with ``fixed``, whether none of these columns varies or is missing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -70,20 +75,43 @@ def _summaries(pair: list[str], features: list[str], constant: list[str], flags:
         pairs, sources = np.flatnonzero(new_pair), np.flatnonzero(new_source)
         own = np.cumsum(new_pair)[sources] - 1  # the pair of each source
         first = np.searchsorted(own, np.arange(len(pairs)))
+        group = np.cumsum(new_source) - 1
         out = [b.column(c).take(pa.array(pairs)) for c in pair]
         out += [pa.array(np.diff(np.append(pairs, b.num_rows))), pa.array(np.diff(np.append(first, len(sources))))]
         for n in features:
             x = b.column(n).to_numpy(zero_copy_only=False)  # null is NaN
             bad = np.logical_or.reduceat(~np.isfinite(x), pairs)
-            per = _medians(x, sources, np.cumsum(new_source) - 1)
+            per = _medians(x, sources, group)
             out.append(pa.array(_medians(per, first, own), mask=bad))
         out += [b.column(c).take(pa.array(pairs)) for c in constant]
-        out += [pa.array(np.logical_and.reduceat(b.column(n).to_numpy(zero_copy_only=False).astype(bool), pairs)) for n in flags]
-        return pa.RecordBatch.from_arrays(out, names=[*pair, "observations", "sources", *features, *constant, *flags])
+        if flags:
+            bits = np.bitwise_and.reduceat(b.column("flags__").to_numpy(), pairs)
+            out += [pa.array((bits >> i & 1).astype(bool)) for i in range(len(flags))]
+        for n in means:
+            per, k = _means(b.column(n).to_numpy(zero_copy_only=False), b.column(n).is_valid().to_numpy(zero_copy_only=False), sources)
+            mean, k = _means(per, k > 0, first)
+            out.append(pa.array(mean.astype(np.float64), mask=k == 0))
+        names = [*pair, "observations", "sources", *features, *constant, *flags, *means]
+        if fixed is not None:
+            bad = _changes(b, fixed, None) & ~new_pair
+            for c in fixed:
+                bad |= b.column(c).is_null().to_numpy(zero_copy_only=False)
+            out.append(pa.array(~np.logical_or.reduceat(bad, pairs)))
+            names.append("consistent")
+        return pa.RecordBatch.from_arrays(out, names=names)
 
     return run
 
 
+def _means(x: np.ndarray, known: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean and the number of the known values of each run that begins at ``starts``.
+
+    Means are of more digits than a double, so that a mean of thirds does not miss a round value by the order of its terms.
+    """
+    k = np.add.reduceat(known.astype(np.int64), starts)
+    return np.add.reduceat(np.where(known, x, 0.0).astype(np.longdouble), starts) / np.maximum(k, 1), k
+
+
 def _medians(x: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
     """The median of each run of ``group``, that begins at ``starts``."""
     x = x[np.lexsort((x, group))]

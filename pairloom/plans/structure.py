@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import likelihood as L
 from pairloom.operators import observations as O
+from pairloom.operators.checks import require
 from pairloom.plans.base import rounded
 from pairloom.session import table, written
 
@@ -21,9 +22,9 @@ def _obs(spark, d):
     )
 
 
-def _pairs(spark, d):
+def _pairs(spark, d, means=None, checked=True):
     flags = {"no_residue_overlap": F.col("l_tax") >= 0, "compound_pass": F.col("l_discount") < 0.11, "known_role_pass": F.col("l_quantity") >= 1}
-    return O.aggregate_observations(_obs(spark, d), ["a", "b"], "", "pdb", MEDIAN, ["y", "fold"], flags)
+    return O.aggregate_observations(_obs(spark, d), ["a", "b"], "", "pdb", MEDIAN, ["y", "fold"], flags, means, checked)
 
 
 def observation_pairs(spark, d):
@@ -80,12 +81,15 @@ def rank_candidates(spark, d):
 
 
 def review_funnel(spark, d):
-    p = _fitted(spark, d)
-    r = L.rank_candidates(_some_scores(p, *L.VIEWS), "id", "a")
-    p = p.withColumn("id", F.concat_ws(":", "a", "b")).withColumn("min_heavy_distance", F.col("D") / 3)
-    f = O.mean_of_source_means(_obs(spark, d), ["a", "b"], "pdb", (F.col("l_quantity") >= 10).cast("double"), "fraction_ge10")
-    p = p.join(f, ["a", "b"])
-    return L.review_funnel(p, r, "id").select("id", "global_hit", "protein_hit", "spatial_pass", "role_pass", "agreement_pass", "repeated_pass")
+    p = _pairs(spark, d, {"fraction_ge10": (F.col("l_quantity") >= 10).cast("double")}, False)
+    p = written(p.withColumn("LP", F.round("LP", 9)).withColumn("MW", F.round("MW", 6)), "pairs")
+    require({"Inconsistent assignment": p.filter("NOT consistent")})
+    p = p.filter("feature_complete")
+    s = L.wide_scores(p, p.drop("observations", "y", "consistent", "feature_complete"), "fold", "y", L.VIEWS).drop("MW", "LP", "AR", "fold")
+    names = [f"s{i}" for i in range(len(L.VIEWS))]
+    v = L.votes(s.withColumns({n: F.round(n, 6) for n in names}), ["a", "b"], "a", names, rows=p)
+    v = v.filter("a IS NOT NULL AND b IS NOT NULL").withColumn("id", F.concat_ws(":", "a", "b")).withColumn("min_heavy_distance", F.col("D") / 3)
+    return L.funnel_passes(v).select("id", "global_hit", "protein_hit", "spatial_pass", "role_pass", "agreement_pass", "repeated_pass")
 
 
 QUERIES = {f.__name__: f for f in (observation_pairs, contact_consensus, mean_of_source_means, quantile_report, site_summary, seed_grid_check, qnb_bins, oof_method_scores, rank_candidates, review_funnel)}
