@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,9 +57,14 @@ def quantile_edges(long: DataFrame) -> DataFrame:
     key = F.to_json(F.struct("fit", "code"), {"ignoreNullFields": "false"})
     run = grouped_positions(vals, key, [(F.col("x"), False)], carry={"fit": F.col("fit"), "code": F.col("code"), "n": F.col("n")}, sums={"cum": F.col("n")})
     total = vals.groupBy("fit", "code").agg(F.sum("n").alias("t")).withColumn("b", F.ceil(F.pow(F.col("t").cast("double"), F.lit(1.0 / 3.0)) - 1e-12))
+    runs = run.select(F.col("fit").alias("f"), F.col("code").alias("c"), F.col("o0").alias("x"), (F.col("cum") - F.col("n")).alias("a"), (F.col("cum") - 1).alias("z"))
+    return _edges_among(runs, total)
+
+
+def _edges_among(runs: DataFrame, total: DataFrame) -> DataFrame:
+    """The edges of :func:`quantile_edges` from the values ``x`` of fit ``f`` and code ``c`` with their places ``a`` to ``z``, and the number ``t`` of values and ``b`` of bins."""
     # a value that takes the places a to z says itself between which quantiles it lies: those of number i
     # whose place h = (t - 1) i / b has its lower or upper neighbour among them
-    runs = run.select(F.col("fit").alias("f"), F.col("code").alias("c"), F.col("o0").alias("x"), (F.col("cum") - F.col("n")).alias("a"), (F.col("cum") - 1).alias("z"))
     near = runs.join(F.broadcast(total.filter("b > 1")), F.col("f").eqNullSafe(F.col("fit")) & (F.col("c") == F.col("code")))
     step = F.col("b") / (F.col("t") - 1).cast("double")
     first = F.greatest(F.lit(1), F.floor((F.col("a") - 1) * step) - 1).cast("int")
@@ -289,19 +295,30 @@ def _needed(only: Sequence[str]) -> tuple[list[str], list[str]]:
     return [c for c in CODES if c in bins], [c for c in CODES if c in kernels]
 
 
-def wide_scores(train: DataFrame, test: DataFrame, fold: str, label: str, only: Sequence[str]) -> DataFrame:
-    """``test`` with the scores of :func:`method_scores` of the i-th method in ``only`` as ``s{i}``.
+def wide_scores(train: DataFrame, test: DataFrame, fold: str, label: str, only: Sequence[str], digits: int | None = None, bins_of: Callable | None = None, then: tuple | None = None) -> DataFrame:
+    """``test`` with the scores of :func:`method_scores` of the i-th method in ``only`` as ``s{i}``, rounded half up at ``digits`` if given.
+
+    ``bins_of``: what fits the bins, :func:`_bin_models` if not given. ``then``: what makes other batches of those of the result in the
+    same task, in the order of ``test``, and the schema of these.
 
     Only the parts that these methods add up are fitted: bins and moments of cells, that are of no more rows than a histogram, come to the
     driver, and test rows are scored in batches where they are, without joins.
     """
     spark = train.sparkSession
     bins, kernels = _needed(only)
-    models = spark.sparkContext.broadcast((_bin_models(train, fold, label, bins), _kernel_models(train, fold, label, kernels)))
+    models = spark.sparkContext.broadcast(((bins_of or _bin_models)(train, fold, label, bins), _kernel_models(train, fold, label, kernels)))
     parts = dict(methods())
     sums = [(i, m.split(":")[0], parts[m]) for i, m in enumerate(only) if not m.startswith("RAW")]
     kind = [f"s{i} double" for i, _, _ in sums]
     codes = sorted({*bins, *kernels})
+    complete = F.lit(True)
+    for c in CODES:
+        complete = complete & F.col(c).isNotNull()
+    raw = F.bround(F.col("D").cast("double"), 12)
+    raw = raw if digits is None else F.round(raw, digits)
+    columns = test.columns
+    if then:
+        test = test.withColumns({"raw__": raw, "complete__": complete})
     kept = len(test.columns)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,18 +346,32 @@ def wide_scores(train: DataFrame, test: DataFrame, fold: str, label: str, only:
                         v = k[c] if c in CONTINUOUS else q[c]
                         v = np.clip(np.where(np.isnan(v), CAPS[est][c], v), -CAPS[est][c], CAPS[est][c])
                     total = total + np.rint(v * 1e12) / 1e12
-                total = np.rint(total * 1e12) / 1e12
+                total = np.rint(total * 1e12)
+                if digits is None:
+                    total = total / 1e12
+                else:  # of whole numbers, so that halves are exact
+                    step = 10.0 ** (12 - digits)
+                    total = np.copysign(np.floor((np.abs(total) + step / 2) / step), total) / 10.0**digits + 0.0
                 out.append(pa.array(total, mask=np.isnan(total)))
             yield pa.RecordBatch.from_arrays([*b.columns[:kept], *out], names=[*b.schema.names[:kept], *[f"s{i}" for i, _, _ in sums]])
 
-    complete = F.lit(True)
-    for c in CODES:
-        complete = complete & F.col(c).isNotNull()
     rows = test.select(*test.columns, F.col(fold).alias("fit__"), *[F.col(c).cast("double").alias(f"x__{c}") for c in codes])
+    if then:
+        further, schema = then
+        own = [("raw__" if m.startswith("RAW") else f"s{i}", f"s{i}") for i, m in enumerate(only)]
+
+        def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def whole() -> Iterator[pa.RecordBatch]:
+                for b in score(batches):
+                    scores = [pc.if_else(b.column("complete__"), b.column(c), pa.scalar(None, pa.float64())) for c, _ in own]
+                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], *scores], names=[*columns, *[n for _, n in own]])
+
+            return further(whole())
+
+        return rows.mapInArrow(finished, schema)
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in test.schema.fields], *kind])
     scored = rows.mapInArrow(score, schema)
-    value = lambda i, m: F.bround(F.col("D").cast("double"), 12) if m.startswith("RAW") else F.col(f"s{i}")
-    return scored.select(*test.columns, *[F.when(complete, value(i, m)).alias(f"s{i}") for i, m in enumerate(only)])
+    return scored.select(*test.columns, *[F.when(complete, raw if m.startswith("RAW") else F.col(f"s{i}")).alias(f"s{i}") for i, m in enumerate(only)])
 
 
 def _bin_models(train: DataFrame, fold: str, label: str, codes: Sequence[str]) -> dict:
@@ -358,6 +389,64 @@ def _bin_models(train: DataFrame, fold: str, label: str, codes: Sequence[str]) -
     }
 
 
+def fold_bin_models(train: DataFrame, fold: str, label: str, codes: Sequence[str]) -> dict:
+    """:func:`_bin_models` of rows without missing features. Distinct values are sorted once, with counts by fold, from which follow their places
+    in each fit; the classes are counted by bin in one pass over the rows."""
+    spark = train.sparkSession
+    rows = train.select(F.col(fold).alias("own"), F.col(label).cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in codes])
+    folds = [r["own"] for r in rows.select("own").distinct().collect()]
+    trains = {fit: [i for i, own in enumerate(folds) if fit is None or (own is not None and own != fit)] for fit in folds}
+    own = [f"n{i}" for i in range(len(folds))]
+    vals = rows.select("own", F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("x")) for c in codes])).alias("v"))
+    vals = vals.groupBy(F.col("v.code").alias("code"), F.col("v.x").alias("x")).agg(*[F.count(F.when(F.col("own").eqNullSafe(F.lit(f)), 1)).alias(n) for f, n in zip(folds, own)])
+    vals = written(vals, "values")
+    sizes = {r["code"]: r for r in vals.groupBy("code").agg(*[F.sum(n).alias(n) for n in own]).collect()}
+    found = {(fit, c): [] for fit in folds for c in codes if c in CONTINUOUS}
+    totals = [(k, c, t, math.ceil(float(t) ** (1.0 / 3.0) - 1e-12)) for k, fit in enumerate(folds) for c in codes if c in CONTINUOUS and (t := sum(sizes[c][own[i]] for i in trains[fit]))]
+    if totals:
+        run = grouped_positions(vals.filter(F.col("code").isin(*CONTINUOUS)), F.col("code"), [(F.col("x"), False)], carry={n: F.col(n) for n in own}, sums={f"c{n}": F.col(n) for n in own})
+        added = lambda names: sum((F.col(n) for n in names), F.lit(0))
+        places = [F.struct(F.lit(k).alias("f"), (added(f"c{own[i]}" for i in trains[fit]) - added(own[i] for i in trains[fit])).alias("a"), (added(f"c{own[i]}" for i in trains[fit]) - 1).alias("z")) for k, fit in enumerate(folds)]
+        runs = run.select(F.col("g").alias("c"), F.col("o0").alias("x"), F.explode(F.array(*places)).alias("p")).select("p.f", "c", "x", "p.a", "p.z").filter("a <= z")
+        for r in _edges_among(runs, spark.createDataFrame(totals, "fit int, code string, t long, b long")).collect():
+            found[folds[r["fit"]], r["code"]] = r["edges"]
+    kinds = vals.filter(~F.col("code").isin(*CONTINUOUS)).collect()
+    for fit in folds:
+        for c in codes:
+            if c not in CONTINUOUS:
+                found[fit, c] = sorted(r["x"] for r in kinds if r["code"] == c and any(r[own[i]] for i in trains[fit]))
+    models = spark.sparkContext.broadcast((folds, trains, {key: np.array(edges, dtype=float) for key, edges in found.items()}))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds, trains, edges = models.value
+        sums = {(k, i, y): np.zeros(len(edges[fit, c]) + 1, dtype=np.int64) for k, fit in enumerate(folds) for i, c in enumerate(codes) for y in (0, 1)}
+        for b in batches:
+            y = b.column("y").to_numpy(zero_copy_only=False)
+            of = b.column("own").dictionary_encode()
+            at = of.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for i, c in enumerate(codes):
+                x = b.column(c).to_numpy()
+                for j, own in [(-1, None), *enumerate(of.dictionary.to_pylist())]:
+                    part = at == j
+                    if not part.any():
+                        continue
+                    o = folds.index(own)
+                    for k, fit in enumerate(folds):
+                        if o in trains[fit]:
+                            bins = np.searchsorted(edges[fit, c], x[part], side="right" if c in CONTINUOUS else "left")
+                            for v in (0, 1):
+                                sums[k, i, v] += np.bincount(bins[y[part] == v], minlength=len(sums[k, i, v]))
+        for (k, i, v), n in sums.items():
+            bins = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), u), pa.int32()) for u in (k, i, v)] + [pa.array(bins, pa.int32()), pa.array(n[bins])], names=["k", "i", "y", "bin", "n"])
+
+    counts = {key: [np.zeros(len(edges) + 1), np.zeros(len(edges) + 1)] for key, edges in found.items()}
+    for r in rows.mapInArrow(count, "k int, i int, y int, bin int, n long").groupBy("k", "i", "y", "bin").agg(F.sum("n").alias("n")).collect():
+        counts[folds[r["k"]], codes[r["i"]]][r["y"]][r["bin"]] = r["n"]
+    share = lambda n: (n + ALPHA) / (n.sum() + ALPHA * len(n))
+    return {key: (np.array(found[key], dtype=float), np.log(share(n1) / share(n0)), key[1] in CONTINUOUS) for key, (n0, n1) in counts.items() if n0.sum() + n1.sum()}
+
+
 def _bin_value(model: tuple, x: np.ndarray) -> np.ndarray:
     edges, llr, continuous = model
     if continuous:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import likelihood as L
 from pairloom.operators import observations as O
+from pairloom.operators import wide_ranks as W
 from pairloom.operators.checks import require
 from pairloom.plans.base import rounded
 from pairloom.session import table, written
@@ -76,8 +77,14 @@ def oof_method_scores(spark, d):
 
 
 def rank_candidates(spark, d):
-    r = L.rank_candidates(_some_scores(_fitted(spark, d), "RAW:RAW_D", "QNB:D+AR", "QNB:D+MW+LP+AR"), "id", "a")
-    return rounded(r, "global_rank", "global_fraction", "within_rank", "within_fraction")
+    p = _pairs(spark, d, None, False)
+    p = written(p.withColumn("LP", F.round("LP", 9)).withColumn("MW", F.round("MW", 6)), "pairs")
+    require({"Inconsistent assignment": p.filter("NOT consistent")})
+    names = [m for m, _ in L.methods()]
+    rows = p.select(F.concat_ws(":", "a", "b").alias("id"), "a", "fold", *L.CODES).repartition("a").sortWithinPartitions("a")
+    named = {f"s{i}": m for i, m in enumerate(names)}
+    blocks = L.wide_scores(p.filter("feature_complete"), rows, "fold", "y", names, 6, L.fold_bin_models, (W.blocks_of("id", "a", named), W.BLOCKS))
+    return W.block_ranks(blocks, "id", "a", {c: rows.schema[c].dataType.simpleString() for c in ("id", "a")}, named)
 
 
 def review_funnel(spark, d):
@@ -154,7 +161,7 @@ SELECT a, b, r AS residue, round(sum(c / CAST(n AS DOUBLE)) / min(k), 9) AS freq
     "seed_grid_check": f"WITH {OBS} SELECT a, b, count(*) AS rows, count(DISTINCT pdb) AS n_pdb FROM o GROUP BY a, b HAVING count(*) <> 7 OR count(DISTINCT pdb) <> 7",
     "qnb_bins": f"WITH {FIT}, {EDGES} SELECT fit, code, bin, round(llr, 9) AS llr FROM lr",
     "oof_method_scores": f"WITH {LONG} SELECT a, b, method, score FROM sc",
-    "rank_candidates": f"WITH {LONG}, {RANKED} SELECT a || ':' || b AS id, a, method, score, round(gr, 9) AS global_rank, round((gr - 0.5) / gn, 9) AS global_fraction, round(wr, 9) AS within_rank, round((wr - 0.5) / wn, 9) AS within_fraction FROM rk WHERE method IN ('RAW:RAW_D', 'QNB:D+AR', 'QNB:D+MW+LP+AR')",
+    "rank_candidates": f"WITH {LONG}, {RANKED} SELECT a || ':' || b AS id, a, method, score, round(gr, 9) AS global_rank, round((gr - 0.5) / gn, 9) AS global_fraction, round(wr, 9) AS within_rank, round((wr - 0.5) / wn, 9) AS within_fraction FROM rk",
     "review_funnel": f"""WITH {LONG}, {RANKED}, vo AS (SELECT a, b, CAST(count(*) FILTER (WHERE (gr - 0.5) / gn <= 0.1) AS BIGINT) AS g, CAST(count(*) FILTER (WHERE (wr - 0.5) / wn <= 0.1) AS BIGINT) AS w FROM rk WHERE method IN {L.VIEWS} GROUP BY a, b),
 fr AS (SELECT a, b, avg(m) AS f FROM (SELECT a, b, pdb, avg(CAST(l_quantity >= 10 AS INT)) AS m FROM o GROUP BY a, b, pdb) GROUP BY a, b),
 x AS (SELECT a, b, g, w, f, sources, "D" >= 10 AND "D" / 3 >= 6 AS s FROM z JOIN vo USING (a, b) JOIN fr USING (a, b))
